@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm import bpe, packing, subjects, terms
+from caseframe.llm import bpe, mojibake, packing, subjects, terms
 from caseframe.session import load
 
 
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled fields of whois with their text as it stands and, where a reading was found, the original."""
+    return mojibake.garbled(load(spark, d, "whois"), "id", ["netname", "descr", "remarks"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("id", "field").distinct()
+
+
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
     hits = load(spark, d, "logicalindexoffsets").select("inode_id", "word_id", "offset", "length", "loaded")
     freq = terms.frequencies(hits, load(spark, d, "dictionary"), load(spark, d, "logicalindexstats"))
@@ -56,5 +65,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return areas.join(found, "area", "left").select("area", F.coalesce("docs", F.lit(0)).alias("docs"), F.round(F.coalesce("docs", F.lit(0)) / F.lit(max(1, total)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p5_terms, p5_found, p7_ids, p8_bins, p8_certificate, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_restored, p4_found, p5_terms, p5_found, p7_ids, p8_bins, p8_certificate, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
