@@ -142,7 +142,7 @@ def F20_has_magic(spark, d):
 
 @query("select h.inode_id, h.word_id, h.pos, w.class, w.word_type from hit h join word w on w.word_id = h.word_id where w.word_type = 'regex'", "hit", "word")
 def F22_word_hit(spark, d):
-    tables = {"hit": relation(spark, d, "hit"), "word": F.broadcast(relation(spark, d, "word"))}
+    tables = {"hit": relation(spark, d, "hit"), "word": relation(spark, d, "word")}
     cols = [C.BigIntegerType("inode_id", table="hit"), C.BigIntegerType("word_id", table="hit"), C.BigIntegerType("pos", table="hit"), C.StringType("class", table="word"), C.WordType("word_type", table="word")]
     return Q.run(Q.QuerySpec(cols, "word_type = REGEX", order=None, key="word_id"), tables)
 
