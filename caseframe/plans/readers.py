@@ -13,9 +13,6 @@ from caseframe.plans.registry import query, relation
 from caseframe.session import load
 from caseframe.sources import exports, listing, logs
 
-_IP = "concat('10.0.0.', cast(user_id as string))"
-
-
 def _lines(spark, d, *parts) -> DataFrame:
     """Log lines of the events: texts and columns one after the other."""
     return load(spark, d, "events").select(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("value"))
@@ -29,8 +26,12 @@ def _time(form: str):
     return F.date_format("ts", form)
 
 
-_CENTS = F.floor(F.col("value") * 100).cast("long")
-_ADDRESS = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
+def _cents():
+    return F.floor(F.col("value") * 100).cast("long")
+
+
+def _address():
+    return F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
 
 
 @query("select count(*) as n from events where event_type not in ('error', 'signup')")
@@ -49,7 +50,7 @@ def S2_filtered_load(spark, d):
 
 @query("select event_id, date_trunc('second', ts) as at, 167772160 + user_id as ip, event_type from events")
 def S3_simple(spark, d):
-    lines = _lines(spark, d, _s("event_id"), "|", F.unix_timestamp("ts").cast("string"), "|skipped|", _ADDRESS, "|  ", F.col("event_type"), " ")
+    lines = _lines(spark, d, _s("event_id"), "|", F.unix_timestamp("ts").cast("string"), "|skipped|", _address(), "|  ", F.col("event_type"), " ")
     rows = logs.simple(lines, [C.BigIntegerType("event_id"), C.EpochTimestampType("at"), None, C.IPType("ip"), C.StringType("event_type")], "[|]")
     return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
@@ -70,7 +71,7 @@ def S5_csv(spark, d):
 @query("select 167772160 + user_id as rhost, date_trunc('second', ts) as time, case event_type when 'error' then 404 else 200 end as status, cast(floor(value * 100) as bigint) as size, 'GET' as method, concat('/', event_type, '?id=', cast(event_id as string)) as request, 'HTTP/1.0' as protocol, cast(null as string) as ruser, 'agent \"x\"' as user_agent from events")
 def S6_apache(spark, d):
     status = F.when(F.col("event_type") == "error", "404").otherwise("200")
-    lines = _lines(spark, d, _ADDRESS, " - - [", _time("dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /', F.col("event_type"), "?id=", _s("event_id"), ' HTTP/1.0" ', status, " ", _CENTS.cast("string"), ' "-" "agent \\"x\\""')
+    lines = _lines(spark, d, _address(), " - - [", _time("dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /', F.col("event_type"), "?id=", _s("event_id"), ' HTTP/1.0" ', status, " ", _cents().cast("string"), ' "-" "agent \\"x\\""')
     rows = logs.apache(lines, "combined")
     return rows.select("rhost", F.col("time").cast("timestamp_ntz").alias("time"), "status", "size", "method", "request", "protocol", "ruser", F.replace("user_agent", F.lit("\\"), F.lit("")).alias("user_agent"))
 
@@ -78,7 +79,7 @@ def S6_apache(spark, d):
 @query("select date_trunc('second', ts) as timestamp, 167772160 + user_id as c_ip, 'GET' as cs_method, case event_type when 'error' then 404 else 200 end as sc_status, cast(floor(value * 100) as bigint) as sc_bytes, cast(null as string) as cs_username from events")
 def S7_iis(spark, d):
     status = F.when(F.col("event_type") == "error", "404").otherwise("200")
-    rows = _lines(spark, d, _time("yyyy-MM-dd HH:mm:ss"), " ", _ADDRESS, " GET ", status, " ", _CENTS.cast("string"), " -")
+    rows = _lines(spark, d, _time("yyyy-MM-dd HH:mm:ss"), " ", _address(), " GET ", status, " ", _cents().cast("string"), " -")
     head = spark.createDataFrame([("#Fields: date time c-ip cs-method sc-status sc-bytes cs-username",)], "value string")
     got = logs.iis(head.unionByName(rows))
     return got.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
@@ -92,7 +93,7 @@ def S8_syslog(spark, d):
 
 @query("select date_trunc('second', ts) as time, upper(event_type) as action, 167772160 + user_id as src, cast(floor(value) as bigint) as len, 'TCP' as proto, 16 as tos from events where event_type <> 'view'")
 def S9_iptables(spark, d):
-    body = F.when(F.col("event_type") == "view", "nothing to see").otherwise(F.concat(F.lit("IN=eth0 OUT= SRC="), _ADDRESS, F.lit(" DST=192.168.0.1 LEN="), F.floor("value").cast("string"), F.lit(" TOS=0x10 PROTO=TCP SPT=1 DPT=80")))
+    body = F.when(F.col("event_type") == "view", "nothing to see").otherwise(F.concat(F.lit("IN=eth0 OUT= SRC="), _address(), F.lit(" DST=192.168.0.1 LEN="), F.floor("value").cast("string"), F.lit(" TOS=0x10 PROTO=TCP SPT=1 DPT=80")))
     lines = _lines(spark, d, _time("MMM d HH:mm:ss"), " gw kernel: ", F.upper("event_type"), " ", body)
     rows = logs.iptables(lines, 2024)
     return rows.select(F.col("time").cast("timestamp_ntz").alias("time"), "action", F.col("SRC").alias("src"), F.col("LEN").alias("len"), F.col("PROTO").alias("proto"), F.col("TOS").cast("int").alias("tos"))
@@ -101,7 +102,7 @@ def S9_iptables(spark, d):
 @query("""select date_trunc('second', ts) as timestamp, case event_type when 'click' then 'Built' when 'view' then 'Teardown' else 'Deny' end as action, case event_type when 'click' then 'outbound' end as direction,
 case when event_type in ('click', 'view') then event_id end as conn_number, 167772160 + user_id as src_host, 80 as dst_port, case event_type when 'view' then cast(floor(value) as bigint) end as bytes from events where event_type in ('click', 'view', 'error')""")
 def S10_firewall(spark, d):
-    a = _ADDRESS
+    a = _address()
     kind = F.col("event_type")
     built = F.concat(F.lit("Built outbound TCP connection "), _s("event_id"), F.lit(" for in:"), a, F.lit("/1025 (x) to out:1.2.3.4/80 (y)"))
     gone = F.concat(F.lit("Teardown TCP connection "), _s("event_id"), F.lit(" for in:"), a, F.lit("/1025 to out:1.2.3.4/80 duration 0:00:01 bytes "), F.floor("value").cast("string"))
