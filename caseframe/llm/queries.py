@@ -66,4 +66,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_restored, p4_found, p5_terms, p5_found, p7_ids, p8_bins, p8_certificate, p9_found, p9_shares)}
-SQL: dict[str, str] = {}
+# The words of the given dictionary are Latin-1 letters in UTF-16LE, UTF-8 or one byte each, so that zero bytes can be dropped.
+_TERMS = """with b as (select cast(id as bigint) as id, list_transform(range(0, octet_length(word)), lambda i: substr(hex(word), cast(2 * i + 1 as int), 2)) as x from dictionary where word is not null and id is not null),
+z as (select id, list_filter(x, lambda v: v <> '00') as nz, len(x) % 2 = 0 and len(x) >= 4 and 2 * len(list_filter(range(1, len(x), 2), lambda i: x[i + 1] = '00')) > len(x) // 2 as wide from b),
+s as (select id, case when not wide and try(decode(unhex(array_to_string(nz, '')))) is not null then decode(unhex(array_to_string(nz, ''))) else array_to_string(list_transform(nz, lambda v: chr(cast('0x' || v as int))), '') end as t from z),
+w as (select id, min(term) as term from (select id, lower(trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as term from s) where term <> '' group by 1),
+h as (select distinct inode_id, word_id, "offset", "length", loaded from logicalindexoffsets),
+c as (select w.term, count(*) as hits, count(distinct h.inode_id) as records from h join w on w.id = h.word_id group by 1),
+r as (select w.term, count(*) as ids, cast(sum(coalesce(l.hits, 0)) as bigint) as recorded from w left join (select id, max(hits) as hits from logicalindexstats group by 1) l on l.id = w.id group by 1),
+f as (select r.term, r.ids, coalesce(c.hits, 0) as hits, coalesce(c.records, 0) as records, r.recorded from r left join c on c.term = r.term),
+m as (select term, ids, hits, records, recorded, list_filter([case when records < 3 then 'rare' end, case when records > 0.2 * (select count(distinct inode_id) from logicalindexoffsets) then 'common' end, case when recorded <> hits then 'stale' end], lambda v: v is not null) as marks from f) """
+
+SQL: dict[str, str] = {
+    "p5_terms": _TERMS + "select term, ids, hits, records, recorded, array_to_string(marks, ',') as marks from m",
+    "p5_found": _TERMS + "select term, unnest(marks) as mark from m",
+}
