@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseframe import columns as C
 from caseframe.functions import net
+from caseframe.operators.running import running
 
 
 def longest_prefix(addresses: DataFrame, ip: str, routes: DataFrame) -> DataFrame:
@@ -46,10 +47,11 @@ def first_reaching(points: DataFrame, key: str, position: str, spans: DataFrame,
 
 def latest_before(events: DataFrame, key: str, order: str, kind: str, request: str, carried: list[str]) -> DataFrame:
     """Rows other than requests, with ``carried`` columns (prefixed ``request_``) of the latest request before them."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     is_request = F.col(kind) == request
-    got = {f"request_{c}": F.last(F.when(is_request, F.col(c)), ignorenulls=True).over(w) for c in carried}
-    return events.withColumns(got).filter(~is_request)
+    # The latest request is the one of the greatest (order, ...) among earlier rows.
+    held = F.struct(F.col(order).alias("_at"), *[F.col(c).alias(f"request_{c}") for c in carried])
+    seen = running(events, key, order, {"_held": ("before", F.when(is_request, held))}).filter(~is_request)
+    return seen.withColumns({f"request_{c}": F.col(f"_held.request_{c}") for c in carried}).drop("_held")
 
 
 def containing(left: DataFrame, text: str, right: DataFrame, part: str, on: str) -> DataFrame:

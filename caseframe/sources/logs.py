@@ -9,12 +9,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe import columns as C
 from caseframe import filterlang
 from caseframe.functions import dates, net
+from caseframe.operators.running import running
 
 
 def keep_records(lines: DataFrame, comments: bool = True) -> DataFrame:
@@ -73,11 +74,19 @@ def csv(lines: DataFrame, types: Sequence[C.ColumnType | None], delimiter: str =
     return _fields(lines.select(F.array(*[row[f"_{i}"] for i in range(len(types))]).alias("value")), F.col("value"), types)
 
 
-def _groups(lines: DataFrame, pattern: str, types: Sequence[C.ColumnType], keep: bool = True) -> DataFrame:
-    """One anchored pattern, a group per type; lines that don't match are left out if ``keep``."""
-    rows = lines.filter(F.col("value").rlike(pattern)) if keep else lines
-    got = [(t, F.regexp_extract("value", pattern, i + 1)) for i, t in enumerate(types)]
-    return rows.select(*[t.parsed(F.when(g != "", g)).alias(t.name) for t, g in got if not isinstance(t, C.PadType)])
+def matched(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """``_g``, the groups of a pattern anchored at both ends as an array, of the lines that match. The pattern runs once a line: the line
+    is rewritten to its groups with a separator, which other lines don't get."""
+    mark = "\u0001"
+    rewritten = F.regexp_replace("value", pattern, mark + mark.join(f"${i}" for i in range(1, groups + 1)))
+    rows = lines.select(F.split(rewritten, mark).alias("_g")).filter(F.size("_g") == groups + 1)
+    return rows.select(F.slice("_g", 2, groups).alias("_g"))
+
+
+def _groups(lines: DataFrame, pattern: str, types: Sequence[C.ColumnType]) -> DataFrame:
+    """One anchored pattern, a group per type; empty groups are null, lines that don't match are left out."""
+    got = [(t, F.get("_g", F.lit(i))) for i, t in enumerate(types)]
+    return matched(lines, pattern, len(types)).select(*[t.parsed(F.when(g != "", g)).alias(t.name) for t, g in got if not isinstance(t, C.PadType)])
 
 
 # Named formats of web server logs.
@@ -160,8 +169,8 @@ def iis(lines: DataFrame, header: str | None = None) -> DataFrame:
 def syslog(lines: DataFrame, year: int = 2007) -> DataFrame:
     """``Mon dd HH:MM:SS host service message``; the year, which the lines lack, is given."""
     pattern = r"^([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) ([^ :\[]+)(?:\[\d+\])?:? (.*)$"
-    rows = lines.filter(F.col("value").rlike(pattern))
-    g = [F.regexp_extract("value", pattern, i) for i in (1, 2, 3, 4)]
+    rows = matched(lines, pattern, 4)
+    g = [F.get("_g", F.lit(i)) for i in range(4)]
     return rows.select(dates.with_year(g[0], "MMM d HH:mm:ss", year).alias("timestamp"), g[1].alias("hostname"), g[2].alias("service"), g[3].alias("message"))
 
 
@@ -173,14 +182,19 @@ IPTABLES_INT = ["LEN", "TOS", "TTL", "ID", "SPT", "DPT", "TYPE", "CODE", "SEQ",
 
 def iptables(lines: DataFrame, year: int = 2007) -> DataFrame:
     """KEY=VALUE lines of a packet filter with time and action; lines with fewer than three keys are left out."""
-    value = lambda k: F.regexp_extract("value", f"(?:^| ){k}=(\\S*)", 1)
     every = IPTABLES_TEXT + IPTABLES_IP + IPTABLES_INT
-    found = sum((F.col("value").rlike(f"(?:^| ){k}=").cast("int") for k in every[1:]), F.col("value").rlike(f"(?:^| ){every[0]}=").cast("int"))
-    filled = lambda k: F.when(value(k) != "", value(k))
-    number = lambda k: F.when(filled(k).rlike("^0x"), F.conv(F.substring(filled(k), 3, 16), 16, 10)).otherwise(filled(k)).try_cast("bigint")
-    stamp = dates.with_year(F.regexp_extract("value", r"^([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d)", 1), "MMM d HH:mm:ss", year)
-    action = F.regexp_extract("value", r"kernel: (?:\[[^\]]*\] )?([^=]*?) ?[A-Z]+=", 1)
-    return lines.filter(found > 2).select(stamp.alias("time"), F.trim(action).alias("action"), *[filled(k).alias(k) for k in IPTABLES_TEXT], *[net.ip_to_long(filled(k)).alias(k) for k in IPTABLES_IP], *[number(k).alias(k) for k in IPTABLES_INT])
+    pairs = F.filter(F.split("value", " "), lambda w: F.substring_index(w, "=", 1).isin(every) & w.contains("="))
+    rows = lines.select("value", pairs.alias("_p")).filter(F.size("_p") > 2)
+    text = lambda k: F.get(F.filter("_p", lambda w: w.startswith(f"{k}=")), F.lit(0))
+    filled = lambda k: F.nullif(F.substring(text(k), len(k) + 2, 1000), F.lit(""))
+
+    def number(c: Column) -> Column:
+        return F.when(c.startswith("0x"), F.conv(F.substring(c, 3, 16), 16, 10)).otherwise(c).try_cast("bigint")
+
+    named = rows.select("value", *[filled(k).alias(k) for k in every])
+    head = F.split(F.regexp_replace("value", r"^([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) .*?kernel: (?:\[[^\]]*\] )?([^=]*?) ?[A-Z]+=.*$", "$1\u0001$2"), "\u0001")
+    stamp = dates.with_year(F.get(head, F.lit(0)), "MMM d HH:mm:ss", year)
+    return named.select(stamp.alias("time"), F.trim(F.coalesce(F.get(head, F.lit(1)), F.lit(""))).alias("action"), *IPTABLES_TEXT, *[net.ip_to_long(F.col(k)).alias(k) for k in IPTABLES_IP], *[number(F.col(k)).alias(k) for k in IPTABLES_INT])
 
 
 @dataclass(frozen=True)
@@ -195,7 +209,7 @@ class Consumed:
 def advanced(lines: DataFrame, steps: Sequence[Consumed]) -> DataFrame:
     """Columns read one after the other, each by its own pattern; the steps make one anchored expression."""
     parts = [f"{s.boundary}({s.pattern or s.type.pattern})" for s in steps]
-    return _groups(lines, "^" + "".join(parts), [s.type for s in steps])
+    return _groups(lines, "^" + "".join(parts) + ".*$", [s.type for s in steps])
 
 
 # Message families of a firewall by the words they hold.
@@ -204,8 +218,8 @@ PIX_HEAD = r"^(\S+ +\d+ \d\d:\d\d:\d\d) (\S+) (?:.*?)%PIX-\d-(\d+): (.*)$"
 
 def pix_messages(lines: DataFrame, year: int = 2007) -> DataFrame:
     """timestamp, hostname, code, message of a firewall's lines."""
-    rows = lines.filter(F.col("value").rlike(PIX_HEAD))
-    g = [F.regexp_extract("value", PIX_HEAD, i) for i in (1, 2, 3, 4)]
+    rows = matched(lines, PIX_HEAD, 4)
+    g = [F.get("_g", F.lit(i)) for i in range(4)]
     return rows.select(dates.with_year(g[0], "MMM d HH:mm:ss", year).alias("timestamp"), g[1].alias("hostname"), g[2].alias("code"), g[3].alias("message"))
 
 
@@ -231,11 +245,10 @@ def pix_connections(messages: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, key: str, order: str, times: str) -> DataFrame:
     """A row followed by a "repeated n" row stands for 1 + n rows. ``times`` is n on repeat rows and null on others; a repeat
-    without a row before it in its ``key`` stands for nothing. Adds ``copy``, from 0."""
-    w = Window.partitionBy(key).orderBy(order)
-    nxt = F.lead(times).over(w)
-    kept = rows.withColumn("_n", F.coalesce(nxt, F.lit(0))).filter(F.col(times).isNull())
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n")))).drop("_n")
+    without a row before it in its ``key`` stands for nothing. ``order`` is a number. Adds ``copy``, from 0."""
+    back = running(rows.withColumn("_back", -F.col(order)), key, "_back", {"_next": ("before", F.struct("_back", F.col(times).alias("n")))})
+    kept = back.filter(F.col(times).isNull()).withColumn("_n", F.coalesce("_next.n", F.lit(0)))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n")))).drop("_n", "_next", "_back")
 
 
 def load(rows: DataFrame, types: Mapping[str, C.ColumnType], text: str = "", limit: int | None = None) -> DataFrame:
