@@ -34,36 +34,24 @@ def resolve(tree: DataFrame, separator: str = "/") -> tuple[DataFrame, DataFrame
     """(resolved, circular) of a table with id, parent, name.
 
     resolved: id, root, depth, path, lineage (ids from the root to the node). A null name is an empty path segment.
-    circular: id, of the nodes from which following parent never ends. Every round is checkpointed: lineage stays short
-    and a lost executor costs no more than one round.
+    circular: id, of the nodes from which following parent never ends. Every round is checkpointed, so that lineage
+    stays short, a lost executor costs no more than one round, and every round has the same plan.
     """
     spark = tree.sparkSession
     ensure_checkpoint_dir(spark)
     seg = F.coalesce(F.col("name"), F.lit(""))
     state = links(tree).select("id", F.col("parent").alias("ptr"), F.array("id").alias("ids"), F.concat(F.lit(separator), seg).alias("path")).checkpoint()
-    done = [state.filter("ptr is null")]
-    todo = state.filter("ptr is not null")
-    left = todo.count()
-    while left:
-        every = todo
-        for d in done:
-            every = every.unionByName(d)
-        target = every.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("ids").alias("up_ids"), F.col("path").alias("up_path"))
+    left, before = state.filter("ptr is not null").count(), -1
+    while left and left != before:
+        todo = state.filter("ptr is not null")
+        target = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("ids").alias("up_ids"), F.col("path").alias("up_path"))
         jumped = lookup_join(todo, target, "ptr", F.col("id"), "inner", hot_keys(todo, "ptr")).select(
             "id", F.col("next").alias("ptr"), F.concat("up_ids", "ids").alias("ids"), F.concat("up_path", "path").alias("path")
-        ).checkpoint()
-        remaining = jumped.filter("ptr is not null")
-        now = remaining.count()
-        if now < left:
-            done.append(jumped.filter("ptr is null"))
-        todo, stop, left = remaining, now == left, now
-        if stop:
-            break
-    resolved = done[0]
-    for d in done[1:]:
-        resolved = resolved.unionByName(d)
-    resolved = resolved.select("id", F.element_at("ids", 1).alias("root"), (F.size("ids") - 1).alias("depth"), "path", F.col("ids").alias("lineage"))
-    return resolved, todo.select("id")
+        )
+        state = state.filter("ptr is null").unionByName(jumped).checkpoint()
+        left, before = state.filter("ptr is not null").count(), left
+    resolved = state.filter("ptr is null").select("id", F.element_at("ids", 1).alias("root"), (F.size("ids") - 1).alias("depth"), "path", F.col("ids").alias("lineage"))
+    return resolved, state.filter("ptr is not null").select("id")
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
