@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseframe.operators.parallel import spread
+
 MAX_WORDS = 1_000_000
 DETAILED = 1 << 30
 # How words are encoded, the least number of bytes of an entry, the most repeats of a pattern's part.
@@ -120,7 +122,7 @@ def scan(objects: DataFrame, dictionary: DataFrame, key: str = "inode_id", conte
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(words, pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32())], names=[key, "word_id", "offset", "length"])
 
     kind = objects.schema[key].dataType.simpleString()
-    return objects.select(key, content).mapInArrow(run, f"`{key}` {kind}, word_id long, offset long, length int")
+    return spread(objects.select(key, content)).mapInArrow(run, f"`{key}` {kind}, word_id long, offset long, length int")
 
 
 def unique(hits: DataFrame, key: str = "inode_id") -> DataFrame:

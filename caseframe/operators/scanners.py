@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseframe.operators.parallel import spread
+
 # What content starts with: type, mime, offset range, pattern, score.
 MAGIC = [
     ("PDF document", "application/pdf", 0, 0, "%PDF-", 80),
@@ -104,7 +106,7 @@ def scan(objects: DataFrame, scanner: Scan, schema: str, key: str = "inode_id",
             columns = list(zip(*rows)) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    return objects.select(key, content).mapInArrow(run, schema)
+    return spread(objects.select(key, content)).mapInArrow(run, schema)
 
 
 MEMBER = "inode_id long, member string, content binary"
