@@ -12,7 +12,7 @@ def worker_partitions(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than two for each core, spread evenly; any other table as it is.
+    """A scan with fewer partitions than cores, spread evenly over two for each core; any other table as it is.
 
     Reading bytes or texts in Python takes far longer than moving them, and a small file is one partition. A large table has
     partitions enough and isn't shuffled; a table that comes out of a shuffle is left to adaptive execution.
@@ -20,5 +20,5 @@ def spread(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution().executedPlan()
     if "Adaptive" in plan.nodeName():
         return df
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
