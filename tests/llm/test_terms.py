@@ -23,10 +23,10 @@ def counted(hits, words, stats):
     recorded = {}
     for i, n in stats:
         if i is not None:
-            recorded[i] = max(recorded.get(i, 0), n or 0)
+            recorded.setdefault(i, []).append(n)
     by = {t: [0, set(), 0, 0] for t in spelled.values()}
     for i, t in spelled.items():
-        by[t][2] += recorded.get(i, 0)
+        by[t][2] += max((n for n in recorded.get(i, []) if n is not None), default=0)  # a counter can be negative
         by[t][3] += 1
     for h in set(hits):
         if h[1] in spelled:
