@@ -14,6 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseframe.operators import skew
+
+ALWAYS = "0001-01-01 00:00:00"
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -28,16 +32,20 @@ class Reference:
     since: bool = True
 
 
+def _arrivals(ref: Reference, time: str) -> DataFrame:
+    """(ref_id, at) of each target row that has a key; without a time it exists always."""
+    always = F.lit(ALWAYS).cast("timestamp")
+    at = F.coalesce(F.col(time).cast("timestamp"), always) if ref.since else always
+    return ref.target.filter(F.col(ref.key).isNotNull()).select(F.col(ref.key).cast("long").alias("ref_id"), at.alias("at"))
+
+
 def deltas(ref: Reference, period: Callable[[Column], Column], time: str = "loaded") -> DataFrame:
     """Deltas of one reference, summed per (tbl, key, period). Null keys are no references. A null time of a referring row
     is before all others, in the period null; a target row without a time exists always."""
     src = ref.source.filter(F.col(ref.column).isNotNull()).select(F.col(ref.column).cast("long").alias("ref_id"), F.col(time).alias("at"))
     refs = src.groupBy("ref_id", period(F.col("at")).alias("period")).agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_ref"))
     refs = refs.select("ref_id", "period", "refs", "first_ref", F.lit(0).cast("long").alias("exist"), F.lit(None).cast("timestamp").alias("first_exist"))
-    always = F.lit("0001-01-01 00:00:00").cast("timestamp")
-    born = F.coalesce(F.col(time).cast("timestamp"), always) if ref.since else always
-    tgt = ref.target.filter(F.col(ref.key).isNotNull()).select(F.col(ref.key).cast("long").alias("ref_id"), born.alias("at"))
-    exist = tgt.groupBy("ref_id").agg(F.count(F.lit(1)).alias("exist"), F.min("at").alias("first_exist"))
+    exist = _arrivals(ref, time).groupBy("ref_id").agg(F.count(F.lit(1)).alias("exist"), F.min("at").alias("first_exist"))
     exist = exist.select("ref_id", F.lit(None).cast("string").alias("period"), F.lit(0).cast("long").alias("refs"), F.lit(None).cast("timestamp").alias("first_ref"), "exist", "first_exist")
     return refs.withColumn("first_ref", F.col("first_ref").cast("timestamp")).unionByName(exist).withColumn("tbl", F.lit(ref.name)).withColumn("target", F.lit(ref.target_name))
 
@@ -46,7 +54,7 @@ def orphans(refs: list[Reference], period: Callable[[Column], Column], time: str
     """tbl, ref_id, period, refs, first_ref, state for each key and period with at least one orphan reference.
 
     state is ``absent`` (the target has no such row) or ``later`` (its first row arrived after a referring row). refs
-    counts the period's references to the key; ``period`` maps their time to a text. The window runs over one row per period of a key.
+    counts all of the period's references to the key, also those that aren't orphans (:func:`orphan_references` counts these); ``period`` maps their time to a text. The window runs over one row per period of a key.
     """
     every = None
     for r in refs:
@@ -54,5 +62,26 @@ def orphans(refs: list[Reference], period: Callable[[Column], Column], time: str
         every = d if every is None else every.unionByName(d)
     w = Window.partitionBy("tbl", "ref_id")
     seen = every.withColumn("existence", F.sum("exist").over(w)).withColumn("born", F.min("first_exist").over(w))
-    orphan = seen.filter((F.col("refs") > 0) & ((F.col("existence") == 0) | F.col("first_ref").isNull() & (F.col("born") > F.lit("0001-01-01 00:00:00").cast("timestamp")) | (F.col("first_ref") < F.col("born"))))
+    orphan = seen.filter((F.col("refs") > 0) & ((F.col("existence") == 0) | F.col("first_ref").isNull() & (F.col("born") > F.lit(ALWAYS).cast("timestamp")) | (F.col("first_ref") < F.col("born"))))
     return orphan.select("tbl", "target", "ref_id", "period", "refs", "first_ref", F.when(F.col("existence") == 0, "absent").otherwise("later").alias("state"))
+
+
+def orphan_references(refs: list[Reference], period: Callable[[Column], Column], time: str = "loaded") -> DataFrame:
+    """tbl, target, ref_id, period, orphan_refs, state: the same keys and periods as :func:`orphans`, with the references that are orphans.
+
+    Each referring row is compared with the birth of its own key, and rows equal in all columns count once. Births have one
+    row per key and hot keys of the references are salted. Source columns of a map type can't be compared.
+    """
+    every = None
+    for r in refs:
+        born = _arrivals(r, time).groupBy("ref_id").agg(F.min("at").alias("born"))
+        rows = r.source.filter(F.col(r.column).isNotNull()).select(F.col(r.column).cast("long").alias("ref_id"), F.col(time).alias("at"), F.struct("*").alias("row"))
+        seen = skew.lookup_join(rows, born, "ref_id", F.col("row"))
+        at = F.col("at").cast("timestamp")
+        orphan = seen.filter(F.col("born").isNull() | at.isNull() & (F.col("born") > F.lit(ALWAYS).cast("timestamp")) | (at < F.col("born")))
+        state = F.when(F.col("born").isNull(), "absent").otherwise("later")
+        once = orphan.select("ref_id", period(F.col("at")).alias("period"), state.alias("state"), "row").distinct()
+        counts = once.groupBy("ref_id", "period", "state").agg(F.count(F.lit(1)).alias("orphan_refs"))
+        counts = counts.select(F.lit(r.name).alias("tbl"), F.lit(r.target_name).alias("target"), "ref_id", "period", "orphan_refs", "state")
+        every = counts if every is None else every.unionByName(counts)
+    return every

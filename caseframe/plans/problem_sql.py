@@ -30,6 +30,19 @@ o as (
 q as (select o.tbl, o.ref_id, o.period, o.refs, case when o.absent then 'absent' else 'later' end as state,
   exists (select 1 from purged p where p.tbl = o.target and p.key_id = o.ref_id) as purged from o)"""
 
+_ORPHAN_REFS = f"""{_REFS},
+d as (
+  select 'whois_routes' as tbl, 'whois' as target, cast(whois_id as bigint) as ref_id, loaded from (select distinct * from whois_routes)
+  union all select 'whois', 'whois_sources', src_id, loaded from (select distinct * from whois)
+  union all select 'logicalindexoffsets', 'dictionary', word_id, loaded from (select distinct * from logicalindexoffsets)
+  union all select 'ftp_commands', 'ftp_sessions', ftp_session_id, loaded from (select distinct * from ftp_commands)),
+g as (
+  select d.tbl, d.ref_id, strftime(d.loaded, '%Y-%m') as period, count(*) as orphan_refs, case when t.id is null then 'absent' else 'later' end as state,
+    exists (select 1 from purged p where p.tbl = d.target and p.key_id = d.ref_id) as purged
+  from d left join t on t.target = d.target and t.id = d.ref_id
+  where d.ref_id is not null and (t.id is null or d.loaded is null and t.born > timestamp '0001-01-01 00:00:00' or d.loaded < t.born)
+  group by d.tbl, d.target, d.ref_id, 3, 5)"""
+
 
 def _per(key: str, value: str, n: str, top: str) -> str:
     return f"""{_HITS}, w as (select {key}, {value}, count(*) as c from h where {key} is not null group by 1, 2),
@@ -52,5 +65,7 @@ having count(*) >= 0.01 * (select count(*) from logicalindexoffsets)""",
     "p3_found": f"{_TREE} select cast(id as bigint) as id from l where id not in (select id from r)",
     "p6_orphans": f"{_REFS} select * from q",
     "p6_report": f"{_REFS} select tbl, period, count(*) as orphan_keys, cast(sum(refs) as bigint) as refs, cast(sum(purged::int) as bigint) as purged_keys from q group by 1, 2",
+    "p6_orphan_references": f"{_ORPHAN_REFS} select * from g",
+    "p6_reference_report": f"{_ORPHAN_REFS} select tbl, period, count(*) as orphan_keys, cast(sum(orphan_refs) as bigint) as orphan_refs, cast(sum(purged::int) as bigint) as purged_keys from g group by 1, 2",
     "p6_found": f"{_REFS} select tbl, ref_id, period from q",
 }

@@ -86,20 +86,33 @@ def _references(spark: SparkSession, d: str) -> list[orphans.Reference]:
     ]
 
 
-def p6_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan keys per table and month, with the number of references, why, and whether a purge explains the absence."""
-    found = orphans.orphans(_references(spark, d), _month)
+def _with_purge(spark: SparkSession, d: str, found: DataFrame, refs: str) -> DataFrame:
     purged = load(spark, d, "purged").groupBy(F.col("tbl").alias("target"), F.col("key_id").alias("ref_id")).agg(F.min("purged_at").alias("purged_at"))
-    return found.join(purged, ["target", "ref_id"], "left").select("tbl", "ref_id", "period", "refs", "state", F.col("purged_at").isNotNull().alias("purged"))
+    return found.join(purged, ["target", "ref_id"], "left").select("tbl", "ref_id", "period", refs, "state", F.col("purged_at").isNotNull().alias("purged"))
+
+
+def p6_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys per table and month, with the number of all references to them in it, why, and whether a purge explains the absence."""
+    return _with_purge(spark, d, orphans.orphans(_references(spark, d), _month), "refs")
+
+
+def p6_orphan_references(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys and months with the number of references that are orphans, repeated rows once."""
+    return _with_purge(spark, d, orphans.orphan_references(_references(spark, d), _month), "orphan_refs")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan keys and their references per table and month."""
+    """Orphan keys and all references to them per table and month."""
     return p6_orphans(spark, d).groupBy("tbl", "period").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("refs").alias("refs"), F.sum(F.col("purged").cast("long")).alias("purged_keys"))
 
 
+def p6_reference_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys and orphan references per table and month."""
+    return p6_orphan_references(spark, d).groupBy("tbl", "period").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("orphan_refs").alias("orphan_refs"), F.sum(F.col("purged").cast("long")).alias("purged_keys"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(_references(spark, d), _month).select("tbl", "ref_id", "period")
 
 
-QUERIES = {f.__name__: f for f in (p1_filesystems_wide, p1_xattr_wide, p1_found, p2_by_word, p2_by_inode, p2_offset_percentiles, p2_found, p3_hierarchy, p3_descendants, p3_found, p6_orphans, p6_report, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_filesystems_wide, p1_xattr_wide, p1_found, p2_by_word, p2_by_inode, p2_offset_percentiles, p2_found, p3_hierarchy, p3_descendants, p3_found, p6_orphans, p6_report, p6_orphan_references, p6_reference_report, p6_found)}

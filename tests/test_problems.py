@@ -164,6 +164,29 @@ def test_orphans(spark):
     assert orphans.orphans([orphans.Reference("r", r.limit(0), "ref", g.limit(0), "g", "id")], month).count() == 0
 
 
+def test_orphan_references(spark):
+    """Only rows before the birth of their key count, each distinct row once; the keys and periods are those of orphans()."""
+    t = lambda day: dt.datetime(2011, 1, 1) + dt.timedelta(days=day)
+    random.seed(7)
+    refs = [(random.choice([None, 1, 2, 3, 4, 5]), None if i % 50 == 0 else t(random.randrange(120)), i) for i in range(300)]
+    refs += refs[:80]
+    targets = [(1, t(40)), (1, t(70)), (2, t(200)), (3, t(-5)), (None, t(0)), (5, t(60)), (5, t(60))]
+    r = spark.createDataFrame([(*x, "p", 0) for x in refs], "ref long, loaded timestamp, refs int, period string, born int")
+    g = spark.createDataFrame(targets, "id int, loaded timestamp")
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    ref = orphans.Reference("r", r, "ref", g, "g", "id")
+    born = {k: min(at for j, at in targets if j == k) for k, _ in targets if k is not None}
+    want = Counter((k, at and at.strftime("%Y-%m"), "later" if k in born else "absent") for k, at, _ in set(refs) if k is not None and (k not in born or at is None or at < born[k]))
+    got = orphans.orphan_references([ref], month).collect()
+    assert {(x["ref_id"], x["period"], x["state"]): x["orphan_refs"] for x in got} == dict(want) and len(got) == len(want)
+    keys = orphans.orphans([ref], month).collect()
+    assert {(x["ref_id"], x["period"], x["state"]) for x in keys} == set(want)
+    assert sum(x["refs"] for x in keys) > sum(want.values())
+    timeless = orphans.orphan_references([orphans.Reference("r", r, "ref", g, "g", "id", since=False)], month)
+    assert {x["ref_id"] for x in timeless.collect()} == {4}
+    assert orphans.orphan_references([orphans.Reference("r", r.limit(0), "ref", g.limit(0), "g", "id")], month).count() == 0
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 256])
 def test_running(spark, ranges):
     random.seed(6)
