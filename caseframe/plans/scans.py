@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caseframe import columns as C
 from caseframe import query as Q
-from caseframe.functions import text
+from caseframe.functions import net, text
 from caseframe.operators import analytics, flows, hierarchy, index, lookup, scanners
 from caseframe.plans import joins
 from caseframe.plans.registry import QUERIES, SQL, query, relation
@@ -308,8 +308,8 @@ def K5_periodic_export(spark, d):
 
 @query("select 167772160 + c_custkey as start_ip, cast(c_nationkey + 1 as bigint) as numhosts, upper(c_mktsegment) as country, 'allocated' as status from customer")
 def S19_registry_records(spark, d):
-    ip = F.concat_ws(".", F.lit("10"), F.lit("0"), F.shiftright("c_custkey", 8).bitwiseAND(255).cast("string"), F.col("c_custkey").bitwiseAND(255).cast("string"))
-    c = load(spark, d, "customer").filter("c_custkey < 65536")
+    ip = net.long_to_ip(F.lit(167772160) + F.col("c_custkey"))
+    c = load(spark, d, "customer")
     return reference.registry_records(c.select(F.concat_ws("|", F.lit("ripe"), F.lower("c_mktsegment"), F.lit("ipv4"), ip, (F.col("c_nationkey") + 1).cast("string"), F.lit("20010101"), F.lit("ALLOCATED PA")).alias("value")))
 
 
