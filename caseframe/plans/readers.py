@@ -31,7 +31,7 @@ def _cents():
 
 
 def _address():
-    return F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
+    return net.long_to_ip(F.lit(167772160) + F.col("user_id"))
 
 
 @query("select count(*) as n from events where event_type not in ('error', 'signup')")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from caseframe.plans import joins, readers, registry, scans  # noqa: F401
 from compare import connect, spark_rows, sql_rows
 
@@ -9,10 +11,27 @@ from compare import connect, spark_rows, sql_rows
 def _same(spark, folder, name):
     got = spark_rows(registry.QUERIES[name](spark, folder))
     assert got == sql_rows(connect(folder), registry.SQL[name])
-    return got[1]
+    return got
 
 
 def test_registry_records(spark, tmp_path):
     keys = [0, 255, 256, 65535, 65536, 150_000, 20_000_000]
     spark.createDataFrame([(k, k % 25, "BUILDING") for k in keys], "c_custkey int, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
-    assert len(_same(spark, str(tmp_path), "S19_registry_records")) == len(keys)
+    assert len(_same(spark, str(tmp_path), "S19_registry_records")[1]) == len(keys)
+
+
+@pytest.fixture(scope="module")
+def users(spark, tmp_path_factory):
+    """Folder of events of users whose ids need one to three octets."""
+    folder = str(tmp_path_factory.mktemp("users"))
+    rows = [(i, dt.datetime(2024, 1, 1 + i), u, kind, i + 0.5) for i, (u, kind) in enumerate((u, k) for u in (0, 59, 60, 255, 256, 1499, 70_000) for k in ("view", "click", "error"))]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["S3_simple", "S6_apache", "S7_iis", "S9_iptables", "S10_firewall"])
+def test_addresses(name, spark, users):
+    columns, rows = _same(spark, users, name)
+    at = next(i for i, c in enumerate(columns) if c in ("ip", "rhost", "c_ip", "src", "src_host"))
+    assert len({r[at] for r in rows}) == 7 and "None" not in {r[at] for r in rows}
