@@ -188,6 +188,15 @@ def J21_either_ports(spark, d):
     return lookup.by_either_ports(packets, announced)
 
 
+@query("""select p.inode_id as id, a.session from connection_details p join (select distinct user_id as session, 1024 + user_id as a_port, 80 as b_port from events) a on p.src_port = a.a_port and p.dest_port = a.b_port
+union select p.inode_id, a.session from connection_details p join (select distinct user_id as session, 1024 + user_id as a_port, 80 as b_port from events) a on p.dest_port = a.a_port and p.src_port = a.b_port""", "connection_details")
+def J21_all_ports(spark, d):
+    """J21_either_ports, whose SQL announces the users under 60 only, with the sessions of all users."""
+    announced = load(spark, d, "events").select("user_id").distinct().selectExpr("user_id as session", "1024 + user_id as a_port", "80 as b_port")
+    packets = relation(spark, d, "connection_details").select(F.col("inode_id").alias("id"), "src_port", "dest_port")
+    return lookup.by_either_ports(packets, announced)
+
+
 @query("select h.inode_id, h.word_id, h.pos from hit h where h.word_id in (select word_id from word where class = '_carver')", "hit", "word")
 def J22_carving_hits(spark, d):
     carver = relation(spark, d, "word").filter("class = '_carver'").select("word_id")

@@ -35,3 +35,8 @@ def test_addresses(name, spark, users):
     columns, rows = _same(spark, users, name)
     at = next(i for i, c in enumerate(columns) if c in ("ip", "rhost", "c_ip", "src", "src_host"))
     assert len({r[at] for r in rows}) == 7 and "None" not in {r[at] for r in rows}
+
+
+def test_ports_of_all_users(spark, users):
+    assert len(_same(spark, users, "J21_all_ports")[1]) == 7
+    assert len(_same(spark, users, "J21_either_ports")[1]) == 2
