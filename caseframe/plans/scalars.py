@@ -153,7 +153,7 @@ def X24_previews(spark, d):
     select id, pos, stop, list_max(list_filter(range(0, 33), lambda b: pos % pow(2, b)::bigint = 0 and pos + pow(2, b)::bigint <= stop)) as k from r where pos < stop))
 select distinct id, network, bits from r where network is not null""")
 def X27_cidr_blocks(spark, d):
-    w = load(spark, d, "whois").filter("start_ip is not null and numhosts between 1 and 4096").select(F.col("id"), "start_ip", "numhosts").distinct()
+    w = load(spark, d, "whois").filter("start_ip is not null and numhosts > 0").select(F.col("id"), "start_ip", "numhosts").distinct()
     return w.select("id", F.explode(net.cidr_blocks(F.col("start_ip"), F.col("numhosts"))).alias("b")).select("id", "b.network", "b.bits").distinct()
 
 

@@ -1,10 +1,11 @@
 """Queries over ids greater than those of the small tables, against their SQL."""
 
 import datetime as dt
+import ipaddress
 
 import pytest
 
-from caseframe.plans import joins, readers, registry, scans  # noqa: F401
+from caseframe.plans import joins, readers, registry, scalars, scans  # noqa: F401
 from compare import connect, spark_rows, sql_rows
 
 
@@ -40,3 +41,14 @@ def test_addresses(name, spark, users):
 def test_ports_of_all_users(spark, users):
     assert len(_same(spark, users, "J21_all_ports")[1]) == 7
     assert len(_same(spark, users, "J21_either_ports")[1]) == 2
+
+
+def test_cidr_blocks_of_long_ranges(spark, tmp_path):
+    rows = [(1, 3, 4096), (2, 167772161, 4097), (3, 0, 1 << 24), (4, 5, 100_000_000), (5, 7, 0), (6, None, 9), (7, 0, 1 << 32)]
+    spark.createDataFrame(rows, "id int, start_ip long, numhosts long").write.parquet(str(tmp_path / "whois.parquet"))
+    want = set()
+    for i, low, n in rows:
+        if low is not None and n:
+            blocks = ipaddress.summarize_address_range(ipaddress.IPv4Address(low), ipaddress.IPv4Address(low + n - 1))
+            want |= {(i, int(b.network_address), b.prefixlen) for b in blocks}
+    assert {tuple(r) for r in registry.QUERIES["X27_cidr_blocks"](spark, str(tmp_path)).collect()} == want
