@@ -1,19 +1,27 @@
-"""Parent-child links to full hierarchies by pointer doubling.
+"""Parent-child links to full hierarchies by pointer doubling, in two phases.
 
-Each node holds a pointer to an ancestor and the segment of ids and names from below that ancestor down to itself. A
-round joins every unresolved node to the node it points to: the pointer jumps twice as far and the segments are
-concatenated. After r rounds all nodes of depth under 2**r are resolved; a round that resolves none while some are left
-shows that the rest never end: they lie on a circle or below one. (A node of depth d has ancestors of every smaller
-depth, so no deeper node can resolve after an empty round.)
+First every node holds (id, ptr, dist): an ancestor and how far up it is. A round joins every unresolved node to the node
+it points to, which gives it either its root or a pointer twice as far. After r rounds all nodes of depth under 2**r are
+resolved; a round that resolves none while some are left shows that the rest never end: they lie on a circle or below one.
+(A node of depth d has ancestors of every smaller depth, so no deeper node can resolve after an empty round.) These rows
+are three numbers, however deep the tree and however long a circle is followed.
+
+Then, only for nodes that have a root, segments of names or ids are doubled in the same way: a node whose segment reaches
+its root is done and isn't carried on.
+
+Every round writes what it resolved and what is left as one table and reads nothing twice that it need not: a lost executor costs no more
+than one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.operators.skew import hot_keys, lookup_join
-from caseframe.session import ensure_checkpoint_dir
+from caseframe.operators.skew import lookup_join
+from caseframe.session import Stages
 
 
 def links(tree: DataFrame) -> DataFrame:
@@ -30,31 +38,81 @@ def links(tree: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("_known"), F.col("parent")).alias("parent"), "name")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def roots(nodes: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """((id, root, depth), (id)) of nodes with and without a root, from (id, parent) as :func:`links` gives them."""
+    state = stages.write(nodes.select("id", F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(0).alias("depth"), F.col("parent").alias("ptr"), F.lit(1).alias("dist")))
+    done, todo = [state.filter("root is not null").select("id", "root", "depth")], state.filter("root is null").select("id", "ptr", "dist")
+    left = todo.count()
+    while left:
+        target = [d.select(F.col("id").alias("ptr"), "root", "depth", F.lit(None).cast("long").alias("next"), F.lit(0).alias("step")) for d in done]
+        target.append(todo.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("root"), F.lit(0).alias("depth"), F.col("ptr").alias("next"), F.col("dist").alias("step")))
+        jumped = lookup_join(todo, _union(target), "ptr", F.col("id"), "inner", rows=left)
+        state = stages.write(jumped.select("id", "root", (F.col("depth") + F.when(F.col("root").isNull(), 0).otherwise(F.col("dist"))).alias("depth"), F.col("next").alias("ptr"), (F.col("dist") + F.col("step")).alias("dist")))
+        todo = state.filter("root is null").select("id", "ptr", "dist")
+        before, left = left, todo.count()
+        if left == before:
+            break
+        done.append(state.filter("root is not null").select("id", "root", "depth"))
+    return _union(done), todo.select("id")
+
+
+def _segments(nodes: DataFrame, own: dict[str, Column], stages: Stages) -> DataFrame:
+    """(id, ...) with what lies from the root down to each node, from (id, parent) of nodes that have a root. ``own`` are
+    the segments of a node itself, texts or arrays."""
+    state = stages.write(nodes.select("id", F.col("parent").alias("ptr"), *[c.alias(k) for k, c in own.items()]))
+    done, todo = [state.filter("ptr is null").drop("ptr")], state.filter("ptr is not null")
+    while left := todo.count():
+        up = {k: F.col(k).alias(f"_up_{k}") for k in own}
+        target = [d.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("_next"), *up.values()) for d in done]
+        target.append(todo.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"), *up.values()))
+        jumped = lookup_join(todo, _union(target), "ptr", F.col("id"), "inner", rows=left)
+        state = stages.write(jumped.select("id", F.col("_next").alias("ptr"), *[F.concat(f"_up_{k}", k).alias(k) for k in own]))
+        done.append(state.filter("ptr is null").drop("ptr"))
+        todo = state.filter("ptr is not null")
+    return _union(done)
+
+
+class Hierarchy:
+    """A table with id, parent, name as trees. A null name is an empty path segment."""
+
+    def __init__(self, tree: DataFrame, separator: str = "/") -> None:
+        self.stages, self.separator = Stages(tree.sparkSession, "hierarchy"), separator
+        self.nodes = self.stages.write(links(tree))
+        self.roots, self.circular = roots(self.nodes, self.stages)
+
+    def _below(self, own: dict[str, Column]) -> DataFrame:
+        ended = self.nodes.join(self.circular, "id", "left_anti")
+        return _segments(ended, own, self.stages)
+
+    @property
+    def _name(self) -> Column:
+        return F.concat(F.lit(self.separator), F.coalesce(F.col("name"), F.lit("")))
+
+    def paths(self) -> DataFrame:
+        """id, root, depth, path of each node that has a root."""
+        return self.roots.join(self._below({"path": self._name}), "id")
+
+    def lineages(self, path: bool = False) -> DataFrame:
+        """id, lineage (ids from the root to the node) of each node that has a root, and its path if asked for."""
+        return self._below({"lineage": F.array("id"), **({"path": self._name} if path else {})})
+
+
 def resolve(tree: DataFrame, separator: str = "/") -> tuple[DataFrame, DataFrame]:
     """(resolved, circular) of a table with id, parent, name.
 
-    resolved: id, root, depth, path, lineage (ids from the root to the node). A null name is an empty path segment.
-    circular: id, of the nodes from which following parent never ends. Every round is checkpointed, so that lineage
-    stays short, a lost executor costs no more than one round, and every round has the same plan.
+    resolved: id, root, depth, path, lineage (ids from the root to the node). circular: id, of the nodes from which following
+    parent never ends.
     """
-    spark = tree.sparkSession
-    ensure_checkpoint_dir(spark)
-    seg = F.coalesce(F.col("name"), F.lit(""))
-    state = links(tree).select("id", F.col("parent").alias("ptr"), F.array("id").alias("ids"), F.concat(F.lit(separator), seg).alias("path")).checkpoint()
-    left, before = state.filter("ptr is not null").count(), -1
-    while left and left != before:
-        todo = state.filter("ptr is not null")
-        target = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("ids").alias("up_ids"), F.col("path").alias("up_path"))
-        jumped = lookup_join(todo, target, "ptr", F.col("id"), "inner", hot_keys(todo, "ptr")).select(
-            "id", F.col("next").alias("ptr"), F.concat("up_ids", "ids").alias("ids"), F.concat("up_path", "path").alias("path")
-        )
-        state = state.filter("ptr is null").unionByName(jumped).checkpoint()
-        left, before = state.filter("ptr is not null").count(), left
-    resolved = state.filter("ptr is null").select("id", F.element_at("ids", 1).alias("root"), (F.size("ids") - 1).alias("depth"), "path", F.col("ids").alias("lineage"))
-    return resolved, state.filter("ptr is not null").select("id")
-
-
-def descendants(resolved: DataFrame) -> DataFrame:
-    """(id, descendant, distance) for every node and each node below it, from the lineages of :func:`resolve`."""
-    up = resolved.select(F.col("id").alias("descendant"), "depth", F.posexplode("lineage").alias("level", "id"))
+    h = Hierarchy(tree, separator)
+    return h.roots.join(h.lineages(path=True), "id").select("id", "root", "depth", "path", "lineage"), h.circular
+
+
+def descendants(lineages: DataFrame) -> DataFrame:
+    """(id, descendant, distance) for every node and each node below it, from lineages."""
+    depth = F.size("lineage") - 1
+    up = lineages.select(F.col("id").alias("descendant"), depth.alias("depth"), F.posexplode("lineage").alias("level", "id"))
     return up.filter(F.col("level") < F.col("depth")).select("id", "descendant", (F.col("depth") - F.col("level")).alias("distance"))

@@ -61,15 +61,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve(load(spark, d, "tree"))[1]
+    return hierarchy.Hierarchy(load(spark, d, "tree")).circular
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve(load(spark, d, "tree"))[0].drop("lineage")
+    return hierarchy.Hierarchy(load(spark, d, "tree")).paths()
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.resolve(load(spark, d, "tree"))[0])
+    return hierarchy.descendants(hierarchy.Hierarchy(load(spark, d, "tree")).lineages())
 
 
 def _month(at: Column) -> Column:

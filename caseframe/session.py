@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="caseframe-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+class Stages:
+    """Tables written in the checkpoint folder to cut lineage: a lost executor costs no more than the work since the last one.
+    They are compressed, have statistics for the planner and can be dropped when no later table needs them."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the table behind a result of :meth:`write`."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if self.folder.split(":", 1)[-1] in path:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -90,14 +90,48 @@ def test_weighted_keys(spark):
 
 def test_hot_keys(spark):
     df = spark.createDataFrame([(1,)] * 90 + [(None,)] * 50 + [(i,) for i in range(2, 60)], "k long")
-    hot = skew.hot_keys(df, "k", limit=4, least=10)
-    assert hot == [1] and skew.hot_keys(df.limit(0), "k") == []
+    hot = skew.hot_keys(df, "k", least=10)
+    assert hot == {1: 9} and skew.hot_keys(df.limit(0), "k") == skew.hot_keys(df, "k") == skew.hot_keys(df, "k", least=200, rows=198) == {}
     dim = spark.createDataFrame([(1, "a"), (2, "b")], "k long, name string")
     facts = df.withColumn("n", F.monotonically_increasing_id())
     joined = skew.lookup_join(facts, dim, "k", F.col("n"), "left", hot)
     assert joined.count() == df.count() and joined.filter("name = 'a'").count() == 90 and joined.filter("name = 'b'").count() == 1
 
 
+def test_many_hot_keys(spark):
+    """Every key above what a task may hold is spread, also one of a fiftieth of the rows, each over as many salts as it needs."""
+    df = spark.range(10_000).select(F.when(F.col("id") < 4_000, 1).otherwise(2 + F.col("id") % 30).alias("k"), F.col("id").alias("n"))
+    hot = skew.hot_keys(df, "k", least=150)
+    assert len(hot) == 31 and hot[1] == 27 and hot[2] == 2
+    spread = skew.salted(df, "k", hot, F.col("n")).groupBy("k", "_salt").count()
+    assert spread.agg(F.max("count")).first()[0] < 230
+    dim = spark.range(1, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    joined = skew.lookup_join(df, dim, "k", F.col("n"), "inner", least=150)
+    assert joined.count() == 10_000 and joined.filter("twice != 2 * k").count() == 0
+
+
+@pytest.mark.parametrize("name", ["p2_offset_percentiles", "p3_hierarchy", "p3_descendants", "p6_orphan_references"])
+def test_salted_queries(name, spark, data, monkeypatch):
+    """The same rows when almost every key counts as hot."""
+    from caseframe.plans import problems
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    got = sorted(map(tuple, problems.QUERIES[name](spark, data).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, problems.QUERIES[name](spark, data).collect()))
+
+
+def test_deep_chain(spark):
+    """A chain of 100,000 beside a circle with a tail: three numbers a node, whatever the depth."""
+    n = 100_000
+    chain = spark.range(1, n + 1).select("id", (F.col("id") - 1).alias("parent"), F.lit("x").alias("name"))
+    circle = spark.createDataFrame([(n + 1, n + 2, "a"), (n + 2, n + 1, "b"), (n + 3, n + 1, "c")], "id long, parent long, name string")
+    h = hierarchy.Hierarchy(chain.unionByName(circle))
+    assert {r[0] for r in h.circular.collect()} == {n + 1, n + 2, n + 3}
+    assert h.roots.agg(F.count("*"), F.max("depth"), F.sum("depth"), F.max("root")).first() == (n, n - 1, n * (n - 1) // 2, 1)
+    assert h.roots.filter(F.col("depth") != F.col("id") - 1).count() == 0
+
+
 def _ends(nodes):
     out = {}
     for i in nodes:
