@@ -15,8 +15,6 @@ than one round.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,55 +36,51 @@ def links(tree: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("_known"), F.col("parent")).alias("parent"), "name")
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
-def roots(nodes: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+def roots(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, root, depth), (id)) of nodes with and without a root, from (id, parent) as :func:`links` gives them."""
-    state = stages.write(nodes.select("id", F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.lit(0).alias("depth"), F.col("parent").alias("ptr"), F.lit(1).alias("dist")))
-    done, todo = [state.filter("root is not null").select("id", "root", "depth")], state.filter("root is null").select("id", "ptr", "dist")
-    left = todo.count()
-    while left:
-        target = [d.select(F.col("id").alias("ptr"), "root", "depth", F.lit(None).cast("long").alias("next"), F.lit(0).alias("step")) for d in done]
-        target.append(todo.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("root"), F.lit(0).alias("depth"), F.col("ptr").alias("next"), F.col("dist").alias("step")))
-        jumped = lookup_join(todo, _union(target), "ptr", F.col("id"), "inner", rows=left)
-        state = stages.write(jumped.select("id", "root", (F.col("depth") + F.when(F.col("root").isNull(), 0).otherwise(F.col("dist"))).alias("depth"), F.col("next").alias("ptr"), (F.col("dist") + F.col("step")).alias("dist")))
-        todo = state.filter("root is null").select("id", "ptr", "dist")
-        before, left = left, todo.count()
-        if left == before:
-            break
-        done.append(state.filter("root is not null").select("id", "root", "depth"))
-    return _union(done), todo.select("id")
-
-
-def _segments(nodes: DataFrame, own: dict[str, Column], stages: Stages) -> DataFrame:
+    stages, left = Stages(nodes.sparkSession, "roots"), F.sum(F.col("root").isNull().cast("long"))
+    zero, none = F.lit(0), F.lit(None).cast("long")
+    state = stages.write(nodes.select("id", F.when(F.col("parent").isNull(), F.col("id")).alias("root"), zero.alias("depth"), F.col("parent").alias("ptr"), F.lit(1).alias("dist")), left=left)
+    before = 0
+    while (now := stages.seen["left"] or 0) and now != before:
+        before = now
+        # Nodes that were resolved before the last round, and all of the last round.
+        target = state.select(F.col("id").alias("ptr"), "root", "depth", F.col("ptr").alias("next"), F.col("dist").alias("step"))
+        if len(stages.paths) > 1:
+            older = stages.read(0, -1).filter("root is not null")
+            target = target.unionByName(older.select(F.col("id").alias("ptr"), "root", "depth", none.alias("next"), zero.alias("step")))
+        jumped = lookup_join(state.filter("root is null").select("id", "ptr", "dist"), target, "ptr", F.col("id"), "inner", rows=now)
+        depth = F.when(F.col("root").isNull(), 0).otherwise(F.col("depth") + F.col("dist"))
+        state = stages.write(jumped.select("id", "root", depth.alias("depth"), F.col("next").alias("ptr"), (F.col("dist") + F.col("step")).alias("dist")), left=left)
+    return stages.read().filter("root is not null").select("id", "root", "depth"), state.filter("root is null").select("id")
+
+
+def _segments(nodes: DataFrame, own: dict[str, Column]) -> DataFrame:
     """(id, ...) with what lies from the root down to each node, from (id, parent) of nodes that have a root. ``own`` are
     the segments of a node itself, texts or arrays."""
-    state = stages.write(nodes.select("id", F.col("parent").alias("ptr"), *[c.alias(k) for k, c in own.items()]))
-    done, todo = [state.filter("ptr is null").drop("ptr")], state.filter("ptr is not null")
-    while left := todo.count():
-        up = {k: F.col(k).alias(f"_up_{k}") for k in own}
-        target = [d.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("_next"), *up.values()) for d in done]
-        target.append(todo.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"), *up.values()))
-        jumped = lookup_join(todo, _union(target), "ptr", F.col("id"), "inner", rows=left)
-        state = stages.write(jumped.select("id", F.col("_next").alias("ptr"), *[F.concat(f"_up_{k}", k).alias(k) for k in own]))
-        done.append(state.filter("ptr is null").drop("ptr"))
-        todo = state.filter("ptr is not null")
-    return _union(done)
+    stages, left = Stages(nodes.sparkSession, "segments"), F.sum(F.col("ptr").isNotNull().cast("long"))
+    state = stages.write(nodes.select("id", F.col("parent").alias("ptr"), *[c.alias(k) for k, c in own.items()]), left=left)
+    while now := stages.seen["left"] or 0:
+        up = [F.col("id").alias("ptr"), F.col("ptr").alias("_next"), *[F.col(k).alias(f"_up_{k}") for k in own]]
+        target = state.select(*up)
+        if len(stages.paths) > 1:
+            target = target.unionByName(stages.read(0, -1).filter("ptr is null").select(*up))
+        jumped = lookup_join(state.filter("ptr is not null"), target, "ptr", F.col("id"), "inner", rows=now)
+        state = stages.write(jumped.select("id", F.col("_next").alias("ptr"), *[F.concat(f"_up_{k}", k).alias(k) for k in own]), left=left)
+    return stages.read().filter("ptr is null").drop("ptr")
 
 
 class Hierarchy:
     """A table with id, parent, name as trees. A null name is an empty path segment."""
 
     def __init__(self, tree: DataFrame, separator: str = "/") -> None:
-        self.stages, self.separator = Stages(tree.sparkSession, "hierarchy"), separator
-        self.nodes = self.stages.write(links(tree))
-        self.roots, self.circular = roots(self.nodes, self.stages)
+        self.separator = separator
+        self.nodes = Stages(tree.sparkSession, "nodes").write(links(tree))
+        self.roots, self.circular = roots(self.nodes)
 
     def _below(self, own: dict[str, Column]) -> DataFrame:
         ended = self.nodes.join(self.circular, "id", "left_anti")
-        return _segments(ended, own, self.stages)
+        return _segments(ended, own)
 
     @property
     def _name(self) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -33,21 +33,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Stages:
-    """Tables written in the checkpoint folder to cut lineage: a lost executor costs no more than the work since the last one.
-    They are compressed, have statistics for the planner and can be dropped when no later table needs them."""
+    """Tables of one schema, written one after the other in the checkpoint folder to cut lineage: a lost executor costs no more
+    than the work since the last one. They are compressed and have statistics for the planner."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the table behind a result of :meth:`write`."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.folder.split(":", 1)[-1] in path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.schema, self.seen = None, {}
+
+    def write(self, df: DataFrame, **observed: Column) -> DataFrame:
+        """The table as written; ``seen`` then holds aggregates that were observed while it was."""
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        self.schema = df.schema
+        if observed:
+            watch = Observation()
+            df.observe(watch, *[c.alias(k) for k, c in observed.items()]).write.parquet(self.paths[-1])
+            self.seen = watch.get
+        else:
+            df.write.parquet(self.paths[-1])
+        return self.read(len(self.paths) - 1)
+
+    def read(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """The tables from ``first`` up to, not including, ``last`` as one scan."""
+        return self.spark.read.schema(self.schema).parquet(*self.paths[first:last])
+
+    def drop(self, first: int = 0, last: int | None = None) -> None:
+        """Deletes tables that no later one needs."""
+        for path in self.paths[first:last]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
