@@ -1,7 +1,7 @@
 """Attribute-value rows into wide tables.
 
 Rows (entity, attribute, value) become one row per entity with exactly the declared, typed columns. Facts are reduced
-before they are brought together: repeated rows count once, a column's value is the one most rows of the entity state
+before they are brought together: repeated rows count once (facts are told apart by a hash of 64 bits), a column's value is the one most rows of the entity state
 (ties: the smallest). So an entity holds at most one row per column when it is shuffled, however many it had. Sorted by
 entity, these rows are streamed into columnar batch builders: column indices place each value in a typed buffer whose
 validity mask starts empty.
@@ -43,20 +43,22 @@ def declared(columns: DataFrame, tbl: str) -> list[tuple[str, str]]:
 def cells(facts: DataFrame, entity: str, prop: str, value: str, columns: list[tuple[str, str]]) -> DataFrame:
     """entity, k (index of the column, -1 in one row per entity), and s, i, d, t, b of which the column's type fills one."""
     index = {name: k for k, (name, _) in enumerate(columns)}
-    rows = facts.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.col(prop).alias("p"), F.col(value).alias("v")).distinct()
+    rows = facts.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.col(prop).alias("p"), F.col(value).alias("v"))
     if index:
         k = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in index.items() for x in kv]), F.coalesce(V.property_name(F.col("p")), F.lit(""))), F.lit(-1))
     else:
         k = F.lit(-1)
-    rows = rows.select("entity", k.alias("k"), "v")
+    rows = rows.select("entity", k.alias("k"), "v", F.xxhash64("p", "v").alias("fact"))
     of = lambda kind: [index[n] for n, t in columns if t == kind]
     parse = {"string": V.text_value, "bigint": V.whole_value, "double": V.real_value, "timestamp": V.time_value, "boolean": V.truth_value}
     typed = [(F.when(F.col("k").isin(of(kind)), f(F.col("v"))) if of(kind) else F.lit(None)).cast(TYPES[kind][1]).alias(TYPES[kind][0]) for kind, f in parse.items()]
-    rows = rows.select("entity", "k", *typed)
+    rows = rows.select("entity", "k", "fact", *typed)
     names = [x for x, _, _ in TYPES.values()]
-    filled = F.coalesce(*[F.col(x).isNotNull().cast("int") * 0 + F.when(F.col(x).isNotNull(), 1) for x in names]).isNotNull()
-    rows = rows.select("entity", F.when(filled, F.col("k")).otherwise(F.lit(-1)).alias("k"), *names)
-    votes = rows.groupBy("entity", "k", *names).agg(F.count(F.lit(1)).alias("n"))
+    filled = F.coalesce(*[F.when(F.col(x).isNotNull(), True) for x in names]).isNotNull()
+    # What fills nothing is one row per entity and task before anything is moved.
+    rows = rows.select("entity", F.when(filled, F.col("k")).otherwise(F.lit(-1)).alias("k"), F.when(filled, F.col("fact")).alias("fact"), *names)
+    # A distinct count combines repeated facts in each task and needs one exchange, by entity, column and value: a hot entity is spread.
+    votes = rows.groupBy("entity", "k", *names).agg(F.count_distinct("fact").alias("n"))
     value_key = F.struct(*names)
     return votes.groupBy("entity", "k").agg(F.min(F.struct((-F.col("n")).alias("n"), value_key.alias("v"))).alias("m")).select("entity", "k", *[F.col(f"m.v.{x}").alias(x) for x in names])
 
