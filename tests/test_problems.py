@@ -221,6 +221,43 @@ def test_orphan_references(spark):
     assert orphans.orphan_references([orphans.Reference("r", r.limit(0), "ref", g.limit(0), "g", "id")], month).count() == 0
 
 
+def test_maintained_counts(spark, tmp_path):
+    """Batches of arrivals and deletions, late rows among them, give the state and report of the rows that are left."""
+    t = lambda day: dt.datetime(2011, 1, 1) + dt.timedelta(days=day)
+    random.seed(9)
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    schema = "ref long, loaded timestamp", "id long, loaded timestamp"
+    empty = [spark.createDataFrame([], s) for s in schema]
+    ref = orphans.Reference("r", empty[0], "ref", empty[1], "g", "id")
+    kept = orphans.Maintained(spark, str(tmp_path / "state"))
+    live: tuple[list, list] = ([], [])
+    for batch in range(5):
+        new = [[(random.choice([None, *range(8)]), random.choice([None, *map(t, range(0, 120, 7))])) for _ in range(n)] for n in (60, 5)]
+        gone = [random.sample(x, len(x) // 3) for x in live]
+        for x, add, drop in zip(live, new, gone):
+            x += add
+            for row in drop:
+                x.remove(row)
+        up, down = ([spark.createDataFrame(rows, s) for rows, s in zip(side, schema)] for side in (new, gone))
+        changes = orphans.deltas(ref, *up).unionByName(orphans.deltas(ref, *down, sign=-1))
+        kept.apply(changes, batch)
+        kept.apply(changes, batch)  # a batch that comes again
+    whole = orphans.Reference("r", spark.createDataFrame(live[0], schema[0]), "ref", spark.createDataFrame(live[1], schema[1]), "g", "id")
+    once = orphans.merged(None, orphans.deltas(whole))
+    assert sorted(map(str, kept.state().collect())) == sorted(map(str, once.collect()))
+    want = orphans.orphans([whole], month).drop("target")
+    assert sorted(map(str, orphans.report(kept.state(), month).collect())) == sorted(map(str, want.collect())) and want.count()
+    assert [p.name for p in (tmp_path / "state").iterdir()] == ["v4"]
+    # A deleted target row makes its references orphans, a late one ends that.
+    one = orphans.Reference("r", spark.createDataFrame([(1, t(9))], schema[0]), "ref", spark.createDataFrame([(1, t(3))], schema[1]), "g", "id")
+    state = orphans.merged(None, orphans.deltas(one))
+    assert orphans.report(state, month).count() == 0
+    state = orphans.merged(state, orphans.deltas(one, targets=one.target, sign=-1))
+    assert [r["state"] for r in orphans.report(state, month).collect()] == ["absent"]
+    state = orphans.merged(state, orphans.deltas(one, targets=spark.createDataFrame([(1, t(20))], schema[1])))
+    assert [r["state"] for r in orphans.report(state, month).collect()] == ["later"]
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 256])
 def test_running(spark, ranges):
     random.seed(6)
