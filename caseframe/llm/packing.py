@@ -2,8 +2,8 @@
 
 Pieces are dealt to partitions of bounded size and each is packed by best-fit decreasing. Dual feasible functions give a
 lower bound for the number of bins a partition needs; where the two agree the partition is certified. Partitions with a gap
-give up the pieces of their bins that are not full; these are pooled, dealt out anew and packed again, as long as that
-saves bins. A piece is never split unless its document exceeds the capacity: then full containers are cut off it and the
+give up the pieces of their bins that are not full; these are pooled, dealt out anew to larger partitions and packed again.
+A container kind keeps the new packing of its pool only if that has fewer bins in total, and goes on while it has, so the number of bins never rises. A piece is never split unless its document exceeds the capacity: then full containers are cut off it and the
 rest is packed with the others.
 """
 
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.session import ensure_checkpoint_dir
+from caseframe.session import Stages
 
-PARTITION_ITEMS = 50_000
-ROUNDS = 3
+PARTITION_ITEMS = 5_000
+POOL_ITEMS = 50_000
+ROUNDS = 12
 MAX_CONTAINERS = 200
 
 
@@ -106,36 +107,59 @@ def pieces(sized: DataFrame, containers: DataFrame) -> tuple[DataFrame, list]:
     return out.select("container", "capacity", "doc_id", "part", F.when(F.col("part") < full, F.col("capacity")).otherwise(rest).alias("size"), (F.col("part") < full).alias("whole")), kinds
 
 
-def pack(sized: DataFrame, containers: DataFrame, items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def _is_open() -> Column:
+    """In a bin that isn't full, of a partition that isn't certified."""
+    return (F.col("gap") > 0) & (F.col("fill") < F.col("capacity"))
+
+
+def _bins(packed: DataFrame) -> dict[str, tuple[int, int, int, int]]:
+    """(bins, open bins of partitions with a gap, their partitions, their pieces) of each container kind."""
+    each = packed.groupBy("container", "grp", "bin").agg(F.count(F.lit(1)).alias("n"), F.max(_is_open()).alias("open"))
+    rows = each.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.count_if("open").alias("open"), F.count_distinct(F.when(F.col("open"), F.col("grp"))).alias("groups"), F.sum(F.when(F.col("open"), F.col("n"))).alias("items"))
+    return {r["container"]: (r["bins"], r["open"], r["groups"], r["items"] or 0) for r in rows.collect()}
+
+
+def pack(sized: DataFrame, containers: DataFrame, items: int = PARTITION_ITEMS, pool_items: int = POOL_ITEMS, rounds: int = ROUNDS, log: list | None = None) -> DataFrame:
     """container, capacity, doc_id, part, tokens, bin, fill of every piece of every document.
 
     sized: doc_id (unique), tokens; null tokens count as 0. An empty document lies in some container too. bin is a text,
-    unique within a container kind. ``items`` bounds what one task holds.
+    unique within a container kind. ``items`` and ``pool_items`` bound what one task holds at first and in an exchange. A kind is done when
+    all its partitions are certified, when one partition holds its pool, when an exchange saves no bin, or after ``rounds``.
+    ``log`` is given (round, container, bins before, bins after) of every exchange.
     """
-    ensure_checkpoint_dir(sized.sparkSession)
     cut, kinds = pieces(sized.select("doc_id", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens")), containers)
-    cut = cut.checkpoint()
+    cut = Stages(sized.sparkSession, "pieces").write(cut)
     loose = cut.filter(~F.col("whole"))
     most = max([r["n"] for r in loose.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()], default=0)
-    groups = max(1, -(-most // items))
     whole = cut.filter("whole").select("container", "capacity", "doc_id", "part", F.col("size").alias("tokens"), F.concat(F.lit("w"), F.col("doc_id"), F.lit("."), F.col("part")).alias("bin"), F.col("capacity").alias("fill"))
-    out = [whole]
-    todo = loose.drop("whole").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    before = None
-    for r in range(rounds):
-        packed = todo.groupBy("container", "grp").applyInPandas(_pack, _ITEM + ", bin long, fill long, gap long").checkpoint()
-        named = packed.select("container", "capacity", "doc_id", "part", F.col("size").alias("tokens"), F.concat_ws(".", F.lit(f"r{r}"), F.col("grp"), F.col("bin")).alias("bin"), "fill", "gap", "size")
-        open_ = (F.col("gap") > 0) & (F.col("fill") < F.col("capacity"))
-        pool = packed.filter(open_)
-        state = pool.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("container", "grp").alias("g"), F.countDistinct("container").alias("c"), F.countDistinct("container", "grp", "bin").alias("b")).first()
-        # Nothing to exchange: all certified, each kind has one group, or the last exchange saved no bin.
-        if r == rounds - 1 or state["g"] <= state["c"] or (before is not None and state["b"] >= before):
-            out.append(named.drop("gap", "size"))
-            break
-        before = state["b"]
-        out.append(named.filter(~open_).drop("gap", "size"))
-        groups = max(1, -(-state["n"] // items))
-        todo = pool.select("container", "capacity", "doc_id", "part", "size", F.pmod(F.xxhash64("doc_id", F.lit(r + 1)), F.lit(groups)).alias("grp"))
+    out, stages = [whole], Stages(sized.sparkSession, "packing")
+
+    def packed(rows: DataFrame, n: int, most: int, r: int) -> DataFrame:
+        """Pieces dealt to groups of ``n`` at most on average, and packed."""
+        groups = max(1, -(-most // n))
+        dealt = rows.select("container", "capacity", "doc_id", "part", "size", F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(groups)).alias("grp"))
+        return stages.write(dealt.groupBy("container", "grp").applyInPandas(_pack, _ITEM + ", bin long, fill long, gap long"))
+
+    def keep(rows: DataFrame, r: int) -> None:
+        out.append(rows.select("container", "capacity", "doc_id", "part", F.col("size").alias("tokens"), F.concat_ws(".", F.lit(f"r{r}"), "grp", "bin").alias("bin"), "fill"))
+
+    now, r = packed(loose, items, most, 0), 0
+    state = _bins(now)
+    active = [c for c, (_, _, groups, _) in state.items() if groups > 1]
+    while active and r < rounds:
+        is_open = _is_open() & F.col("container").isin(active)
+        pool = now.filter(is_open)
+        keep(now.filter(~is_open), r)
+        r += 1
+        trial = packed(pool, pool_items, max(state[c][3] for c in active), r)
+        after = _bins(trial)
+        better = [c for c in active if after[c][0] < state[c][1]]
+        if log is not None:
+            log += [(r, c, state[c][1], after[c][0]) for c in active]
+        keep(pool.filter(~F.col("container").isin(better)), r - 1)
+        now, state = trial.filter(F.col("container").isin(better)), after
+        active = [c for c in better if after[c][2] > 1]
+    keep(now, r)
     result = out[0]
     for o in out[1:]:
         result = result.unionByName(o)
@@ -158,3 +182,16 @@ def certificate(packed: DataFrame) -> DataFrame:
     bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("tokens"), F.sum((F.col("part") == 0).cast("long")).alias("documents"))
     total = bins.groupBy("container", "capacity").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("bins"))
     return total.join(bounds, "container").withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+
+
+def properties(packed: DataFrame, sized: DataFrame, containers: DataFrame) -> DataFrame:
+    """container, documents (that lie in it whole or in all their parts), overfull (bins above the capacity), split (documents that
+    were split but would have fitted), misstated (bins whose fill isn't the sum of their pieces)."""
+    kinds = containers.filter((F.col("capacity") > 0) & F.col("container").isNotNull()).groupBy("container").agg(F.min("capacity").cast("long").alias("capacity"))
+    docs = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("part").alias("different"), F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"))
+    docs = docs.join(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("true")), "doc_id")
+    per_doc = docs.groupBy("container").agg(F.count_if((F.col("tokens") == F.col("true")) & (F.col("parts") == F.col("different"))).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split"))
+    bins = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"), F.max("fill").alias("fill"), F.min("fill").alias("least"))
+    per_bin = bins.groupBy("container").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), F.count_if((F.col("tokens") != F.col("fill")) | (F.col("fill") != F.col("least"))).alias("misstated"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return kinds.join(per_doc, "container", "left").join(per_bin, "container", "left").select("container", *[zero(c) for c in ("documents", "overfull", "split", "misstated")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.llm import bpe, mojibake, packing, subjects, terms
-from caseframe.session import load
+from caseframe.session import Stages, load
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,13 @@ def p8_certificate(spark: SparkSession, d: str) -> DataFrame:
     return packing.certificate(_packed(spark, d))
 
 
+def p8_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per container kind: documents that lie in it completely, and counts of what must not be."""
+    sized = Stages(spark, "sized").write(bpe.token_counts(load(spark, d, "documents"), "doc_id", "text"))
+    containers = load(spark, d, "containers")
+    return packing.properties(packing.pack(sized, containers), sized, containers)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects(load(spark, d, "documents"), load(spark, d, "area_labels"), load(spark, d, "subject_areas"))
 
@@ -65,7 +72,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return areas.join(found, "area", "left").select("area", F.coalesce("docs", F.lit(0)).alias("docs"), F.round(F.coalesce("docs", F.lit(0)) / F.lit(max(1, total)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_restored, p4_found, p5_terms, p5_found, p7_ids, p8_bins, p8_certificate, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_restored, p4_found, p5_terms, p5_found, p7_ids, p8_bins, p8_certificate, p8_properties, p9_found, p9_shares)}
 # The words of the given dictionary are Latin-1 letters in UTF-16LE, UTF-8 or one byte each, so that zero bytes can be dropped.
 _TERMS = """with b as (select cast(id as bigint) as id, list_transform(range(0, octet_length(word)), lambda i: substr(hex(word), cast(2 * i + 1 as int), 2)) as x from dictionary where word is not null and id is not null),
 z as (select id, list_filter(x, lambda v: v <> '00') as nz, len(x) % 2 = 0 and len(x) >= 4 and 2 * len(list_filter(range(1, len(x), 2), lambda i: x[i + 1] = '00')) > len(x) // 2 as wide from b),
@@ -78,6 +85,8 @@ f as (select r.term, r.ids, coalesce(c.hits, 0) as hits, coalesce(c.records, 0)
 m as (select term, ids, hits, records, recorded, list_filter([case when records < 3 then 'rare' end, case when records > 0.2 * (select count(distinct inode_id) from logicalindexoffsets) then 'common' end, case when recorded <> hits then 'stale' end], lambda v: v is not null) as marks from f) """
 
 SQL: dict[str, str] = {
+    "p8_properties": """select container, (select count(*) from documents) as documents, cast(0 as bigint) as overfull, cast(0 as bigint) as split, cast(0 as bigint) as misstated
+from (select distinct container from containers where container is not null and capacity > 0)""",
     "p5_terms": _TERMS + "select term, ids, hits, records, recorded, array_to_string(marks, ',') as marks from m",
     "p5_found": _TERMS + "select term, unnest(marks) as mark from m",
 }

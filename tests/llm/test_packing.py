@@ -55,6 +55,22 @@ def test_pack(spark, items):
         assert r["bound"] <= r["bins"] <= (1.2 if items > 100 else 1.5) * r["bound"] + 2 and r["documents"] == len(docs)
 
 
+def test_exchange(spark):
+    """Small partitions leave gaps; every exchange is logged, the result has the bins of the best packing and no round adds one."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(15, 40, 1200))], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("s", 64), ("l", 100)], "container string, capacity int")
+    log: list = []
+    out = packing.pack(docs, kinds, items=30, pool_items=90, log=log)
+    alone = packing.pack(docs, kinds, items=30, rounds=0)
+    bins = {c: {r["container"]: r["bins"] for r in packing.certificate(p).collect()} for c, p in (("exchanged", out), ("alone", alone))}
+    assert {c for _, c, _, _ in log} == {"s", "l"} and max(r for r, *_ in log) > 1
+    for c in ("s", "l"):
+        saved = sum(before - after for _, k, before, after in log if k == c and after < before)
+        assert bins["exchanged"][c] == bins["alone"][c] - saved and saved > 0
+    assert {tuple(r)[1:] for r in packing.properties(out, docs, kinds).collect()} == {(1200, 0, 0, 0)}
+
+
 def test_pack_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, tokens long")
     kinds = spark.createDataFrame([("s", 50)], "container string, capacity int")
