@@ -8,19 +8,21 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Forms that a typed date is tried in, in order.
-GUESSES = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMM d yyyy HH:mm:ss", "MMM d yyyy", "yyyyMMdd"]
-_PYTHON = {"yyyy": "%Y", "MMM": "%b", "MM": "%m", "dd": "%d", "d": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
+# Forms that a typed date is tried in, in order. A leading day of the week says nothing more.
+GUESSES = ["yyyyMMdd HH:mm:ss", "yyyyMMdd HH:mm", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy/MM/dd:HH:mm:ss", "dd MMM yyyy HH:mm:ss z"]
+GUESSES += ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMM d yyyy HH:mm:ss", "MMM d yyyy"]  # further ones
+_WEEKDAY = "^(?:[A-Za-z]{3}), "
+_PYTHON = {"yyyy": "%Y", "MMM": "%b", "MM": "%m", "dd": "%d", "d": "%d", "HH": "%H", "mm": "%M", "ss": "%S", "z": "%Z"}
 
 
 def guess_date(text: str) -> datetime:
     """A typed date, by the first form that fits; seconds since 1970 are taken too. In UTC."""
-    t = " ".join(text.split())
+    t = re.sub(_WEEKDAY, "", " ".join(text.split()))
     if re.fullmatch(r"[0-9]{9,10}", t):
         return datetime.fromtimestamp(int(t), timezone.utc).replace(tzinfo=None)
     for form in GUESSES:
         try:
-            return datetime.strptime(t, re.sub("yyyy|MMM|MM|dd|d|HH|mm|ss", lambda m: _PYTHON[m.group()], form))
+            return datetime.strptime(t, re.sub("yyyy|MMM|MM|dd|d|HH|mm|ss|z", lambda m: _PYTHON[m.group()], form))
         except ValueError:
             continue
     raise ValueError(f"not a date: {text!r}")
@@ -28,7 +30,7 @@ def guess_date(text: str) -> datetime:
 
 def guess_column(c: Column) -> Column:
     """The same for a column; null where no form fits."""
-    t = F.trim(F.regexp_replace(c, "\\s+", " "))
+    t = F.regexp_replace(F.trim(F.regexp_replace(c, "\\s+", " ")), _WEEKDAY, "")
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(form)) for form in GUESSES], F.when(t.rlike("^[0-9]{9,10}$"), F.timestamp_seconds(t.try_cast("bigint"))))
 
 

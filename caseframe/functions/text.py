@@ -93,3 +93,19 @@ def record_field(record: Column, name: str) -> Column:
 def first_record_field(record: Column, name: str) -> Column:
     unfolded = F.regexp_replace(record, "\n[ \t+]+", " ")
     return F.trim(F.regexp_extract(unfolded, f"(?m)^{re.escape(name)}:[ \t]*(.*)$", 1))
+
+
+def quoted(c: Column) -> Column:
+    """A text as a literal of a query: in single quotes, with quotes and backslashes escaped."""
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def hex_dump(c: Column, width: int = 16) -> Column:
+    """Rows (offset, hex, shown) of ``width`` bytes each of binary content; ``shown`` has a point for what can't be printed."""
+    rows = F.floor((F.octet_length(c) + (width - 1)) / width).cast("int")
+
+    def row(i: Column) -> Column:
+        part = F.substring(c, i * width + 1, F.lit(width))
+        return F.struct((i * width).cast("long").alias("offset"), F.hex(part).alias("hex"), F.regexp_replace(F.decode(part, "ISO-8859-1"), "[^ -~]", ".").alias("shown"))
+
+    return F.transform(F.when(rows > 0, F.sequence(F.lit(0), rows - 1)).otherwise(F.array().cast("array<int>")), row)

@@ -48,10 +48,10 @@ def sessions(packets: DataFrame, stream: str, order: str, idle: int = IDLE_PACKE
 
 
 def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
-    """Bytes of one direction in order of sequence numbers: overlaps keep the first copy, gaps are filled with zeros, equal
-    numbers keep their order of arrival, empty segments are only reported."""
+    """Bytes of one direction in order of sequence numbers: overlaps keep the first copy, gaps are filled with zeros, those above
+    ``WINDOW`` are left out and listed instead, equal numbers keep their order of arrival, empty segments are only reported."""
     key, session = rows[["stream", "session"]].iloc[0]
-    out, events, at = bytearray(), [], None
+    out, events, gaps, at = bytearray(), [], [], None
     for r in rows.sort_values(["seq", "id"], kind="stable").itertuples():
         data = bytes(r.data or b"")
         if at is None:
@@ -61,7 +61,10 @@ def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
             events.append((r.id, "misc"))
             continue
         if r.seq > at:
-            out += bytes(min(r.seq - at, WINDOW))
+            if r.seq - at <= WINDOW:
+                out += bytes(r.seq - at)
+            else:
+                gaps.append({"at": len(out), "length": r.seq - at})
             events.append((r.id, "gap"))
             at = r.seq
         if r.seq + len(data) <= at:
@@ -71,13 +74,14 @@ def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
         at = r.seq + len(data)
         events.append((r.id, "data"))
     events.append((int(rows["id"].max()), "destroy"))
-    return pd.DataFrame({"stream": [key], "session": [session], "content": [bytes(out)], "events": [[f"{i}:{e}" for i, e in events]]})
+    return pd.DataFrame({"stream": [key], "session": [session], "content": [bytes(out)], "events": [[f"{i}:{e}" for i, e in events]], "gaps": [gaps]})
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """(stream, session, content, events) from id, stream, session, seq, data of TCP segments. A FIN or RST doesn't close a
-    stream; its last event is the destruction at the end of input or session."""
-    return segments.select("id", "stream", "session", "seq", "data").groupBy("stream", "session").applyInPandas(_assemble, "stream long, session long, content binary, events array<string>")
+    """(stream, session, content, events, gaps) from id, stream, session, seq, data of TCP segments. A FIN or RST doesn't close a
+    stream; its last event is the destruction at the end of input or session. ``gaps`` (at, length) are bytes that
+    content lacks: what stands at or after ``at`` lies ``length`` further in the stream."""
+    return segments.select("id", "stream", "session", "seq", "data").groupBy("stream", "session").applyInPandas(_assemble, "stream long, session long, content binary, events array<string>, gaps array<struct<at:long,length:long>>")
 
 
 def datagrams(segments: DataFrame) -> DataFrame:

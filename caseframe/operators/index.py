@@ -53,20 +53,45 @@ def pattern(small: str) -> str:
     return "".join(out)
 
 
+def _encoded(word: str, kind: str) -> list[bytes]:
+    """The byte forms of an entry in binary content."""
+    if kind == "word":
+        forms = dict.fromkeys(word.lower().encode(c.lower().replace("utf-16le", "utf-16-le")) for c in ENCODINGS.values())
+        return [f for f in forms if len(f) >= LEAST_BYTES]
+    try:
+        return [word.encode("latin-1")]
+    except UnicodeEncodeError:
+        return []
+
+
 class Matcher:
-    """entries: (id, word, kind) with kind word (any letter case), literal, regex."""
+    """entries: (id, word, kind) with kind word (any letter case), literal, regex.
+
+    With ``binary``, texts are bytes, each as the character of its number. A word is looked for in every encoding of
+    ``ENCODINGS`` that gives it ``LEAST_BYTES`` (only ASCII letters have two cases there), literals and patterns as Latin-1;
+    those with other characters can't occur.
+    """
 
-    def __init__(self, entries: list[tuple[int, str, str]]) -> None:
-        self.exact, self.folded, self.patterns = {}, {}, []
+    def __init__(self, entries: list[tuple[int, str, str]], binary: bool = False) -> None:
+        self.exact, self.folded, self.patterns, self.binary = {}, {}, [], binary
+        if binary:
+            entries = [(i, b.decode("latin-1"), k) for i, w, k in entries for b in _encoded(w, k)]
         for i, w, kind in entries:
             if not w:
                 continue
             if kind == "regex":
                 self.patterns.append((i, regex.compile(pattern(w), regex.S)))
             else:
-                (self.folded if kind == "word" else self.exact).setdefault(w.lower() if kind == "word" else w, []).append(i)
+                (self.folded if kind == "word" else self.exact).setdefault(self._lower(w) if kind == "word" else w, []).append(i)
         self.automata = [(self._automaton(self.exact), False), (self._automaton(self.folded), True)]
 
+    def _lower(self, text: str) -> str:
+        if self.binary:
+            return text.encode("latin-1").lower().decode("latin-1")
+        lower = text.lower()
+        # a few letters change their length in lower case
+        return lower if len(lower) == len(text) else "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
+
     @staticmethod
     def _automaton(words: dict[str, list[int]]):  # noqa: ANN205
         if not words:
@@ -80,9 +105,7 @@ class Matcher:
     def hits(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(offset, id, length) of every entry at every offset, overlapping ones too. A pattern gives its longest match at an
         offset."""
-        lower = text.lower()
-        if len(lower) != len(text):  # a few letters change their length in lower case
-            lower = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
+        lower = self._lower(text)
         for a, folded in self.automata:
             if a is not None:
                 for end, (n, ids) in a.iter(lower if folded else text):
@@ -103,14 +126,15 @@ def entries(dictionary: DataFrame) -> list[tuple[int, str, str]]:
 
 
 def scan(objects: DataFrame, dictionary: DataFrame, key: str = "inode_id", content: str = "content") -> DataFrame:
-    """(key, word_id, offset, length) of all hits in all objects. A text is scanned by characters, binary content by bytes."""
+    """(key, word_id, offset, length) of all hits in all objects. A text is scanned by characters; binary content by bytes, with
+    words in all encodings, offsets and lengths in bytes."""
     binary = dict(objects.dtypes)[content] == "binary"
     shared = objects.sparkSession.sparkContext.broadcast(entries(dictionary))
     made: list[Matcher] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(Matcher(shared.value))
+            made.append(Matcher(shared.value, binary))
         for batch in batches:
             keys, words, offsets, lengths = [], [], [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from caseframe import columns as C
 from caseframe.functions import net
 from caseframe.operators.running import running
+from caseframe.session import Stages
 
 
 def longest_prefix(addresses: DataFrame, ip: str, routes: DataFrame) -> DataFrame:
     """(ip, whois_id) of each distinct address by its longest route; addresses without a route have none.
 
     routes: network, netmask, whois_id; of repeated routes the smallest whois_id holds. Each address is tried with the masks
-    that occur, 33 at most, so the range join is an equi-join.
+    that occur, so the range join is an equi-join. A mask is one of the 33 runs of leading ones; routes with any other number
+    as mask have no prefix and match nothing.
     """
-    masks = [r[0] for r in routes.filter(F.col("netmask").isNotNull()).select("netmask").distinct().orderBy("netmask").limit(33).collect()]
+    valid = [(0xFFFFFFFF << (32 - bits)) & 0xFFFFFFFF for bits in range(33)]
+    routes = routes.filter(F.col("netmask").isin(valid))
+    masks = [r[0] for r in routes.select("netmask").distinct().orderBy("netmask").collect()]
     one = routes.filter(F.col("whois_id").isNotNull()).groupBy("network", "netmask").agg(F.min("whois_id").alias("whois_id"))
     ips = addresses.select(F.col(ip).cast("long").alias("ip")).filter("ip is not null").distinct()
     if not masks:
@@ -81,6 +85,20 @@ def graph_step(edges: DataFrame, names: DataFrame, outward: bool = True) -> Data
     return names.select("name").distinct().join(step, "name").distinct()
 
 
+def graph_reach(edges: DataFrame, names: DataFrame, outward: bool = True) -> DataFrame:
+    """Distinct (name, next) by any number of steps along edges (name, pname), circles included; each round only goes on from
+    pairs that are new, and writes them once."""
+    stages = Stages(edges.sparkSession, "reach")
+    a, b = ("name", "pname") if outward else ("pname", "name")
+    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).filter("_from is not null and _to is not null").distinct()
+    n = F.count(F.lit(1))
+    new = stages.write(names.select("name").distinct().join(step, F.col("name") == F.col("_from")).select("name", F.col("_to").alias("next")).distinct(), n=n)
+    while stages.seen["n"]:
+        further = new.join(step, F.col("next") == F.col("_from")).select("name", F.col("_to").alias("next")).distinct()
+        new = stages.write(further.join(stages.read(), ["name", "next"], "left_anti"), n=n)
+    return stages.read()
+
+
 @dataclass(frozen=True)
 class GeoIPType(C.IPType):
     """An address that can be tested and shown with what is known of it. ``cache``: ip and an id per dimension; ``dims``:

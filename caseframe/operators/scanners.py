@@ -1,5 +1,6 @@
 """Scanners: bytes of objects to rows. Types and digests are native; containers, mail, databases and protocols are read by
-the standard library in Arrow batches, one pass over the objects each, and an object that can't be read gives no rows."""
+the standard library in Arrow batches, one pass over the objects each. What was read of an object before an error stays; the
+error is a row of its own if asked for."""
 
 from __future__ import annotations
 
@@ -7,11 +8,9 @@ import email
 import email.policy
 import gzip
 import io
-import os
 import sqlite3
 import struct
 import tarfile
-import tempfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.operators.parallel import spread
+from caseframe.session import Stages
 
 # What content starts with: type, mime, offset range, pattern, score.
 MAGIC = [
@@ -86,12 +86,15 @@ def html_text(c: Column) -> Column:
 Scan = Callable[[int, bytes], Iterable[tuple]]
 
 
-def scan(objects: DataFrame, scanner: Scan, schema: str, key: str = "inode_id", content: str = "content") -> DataFrame:
-    """Rows that ``scanner`` gives for each object; its errors end that object only."""
+def scan(objects: DataFrame, scanner: Scan, schema: str, key: str = "inode_id", content: str = "content", errors: bool = False) -> DataFrame:
+    """Rows that ``scanner`` gives for each object. An error ends that object only; the rows before it stay. With ``errors`` there is a
+    column ``error``, null but for one more row of each such object, which has the key and the error."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = f"{schema}, error string" if errors else schema
     fields = to_arrow_schema(_parse_datatype_string(schema))
+    wanted = len(fields) - errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +103,11 @@ def scan(objects: DataFrame, scanner: Scan, schema: str, key: str = "inode_id",
                 if raw is None:
                     continue
                 try:
-                    rows += list(scanner(k, raw.encode("utf-8") if isinstance(raw, str) else raw))
-                except Exception:  # noqa: BLE001, S112 - bytes of unknown origin
-                    continue
+                    for row in scanner(k, raw.encode("utf-8") if isinstance(raw, str) else raw):
+                        rows.append((*row, None) if errors else row)
+                except Exception as e:  # noqa: BLE001 - bytes of unknown origin
+                    if errors:
+                        rows.append((k, *[None] * (wanted - 1), f"{type(e).__name__}: {e}"))
             columns = list(zip(*rows)) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
@@ -110,25 +115,35 @@ def scan(objects: DataFrame, scanner: Scan, schema: str, key: str = "inode_id",
 
 
 MEMBER = "inode_id long, member string, content binary"
-MAX_MEMBER = 256 << 20
+MAX_MEMBER = 256 << 20  # a larger member, as one that is damaged, is a row without content
+
+
+def _member(key: int, name: str, stream: io.BufferedIOBase) -> tuple:
+    raw = stream.read(MAX_MEMBER + 1)
+    return key, name, raw if len(raw) <= MAX_MEMBER else None
 
 
 def unzip(key: int, raw: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for info in z.infolist():
-            if not info.is_dir() and info.file_size <= MAX_MEMBER:
-                yield key, info.filename, z.read(info)
+            if not info.is_dir():
+                try:
+                    with z.open(info) as f:
+                        yield _member(key, info.filename, f)
+                except (RuntimeError, zipfile.BadZipFile, NotImplementedError, zlib.error, EOFError):
+                    yield key, info.filename, None
 
 
 def gunzip(key: int, raw: bytes) -> Iterator[tuple]:
-    yield key, "gz", gzip.decompress(raw)
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+        yield _member(key, "gz", f)
 
 
 def untar(key: int, raw: bytes) -> Iterator[tuple]:
     with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-        for m in t.getmembers():
-            if m.isfile() and m.size <= MAX_MEMBER:
-                yield key, m.name, t.extractfile(m).read()
+        for m in t:
+            if m.isfile():
+                yield _member(key, m.name, t.extractfile(m))
 
 
 def container(key: int, raw: bytes) -> Iterator[tuple]:
@@ -161,18 +176,16 @@ def sqlite_rows(key: int, raw: bytes) -> Iterator[tuple]:
     """Every row of every table of an embedded database."""
     if raw[:16] != b"SQLite format 3\0":
         return
-    fd, path = tempfile.mkstemp()
+    db = sqlite3.connect(":memory:")
     try:
-        os.write(fd, raw)
-        os.close(fd)
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-            for (tbl,) in db.execute("select name from sqlite_master where type = 'table' order by name").fetchall():
-                cur = db.execute(f'select * from "{tbl}"')
-                names = [x[0] for x in cur.description]
-                for i, r in enumerate(cur):
-                    yield key, tbl, i, [(n, None if v is None else str(v)) for n, v in zip(names, r)]
+        db.deserialize(raw)
+        for (tbl,) in db.execute("select name from sqlite_master where type = 'table' order by name").fetchall():
+            cur = db.execute('select * from "{}"'.format(tbl.replace('"', '""')))
+            names = [x[0] for x in cur.description]
+            for i, r in enumerate(cur):
+                yield key, tbl, i, [(n, None if v is None else str(v)) for n, v in zip(names, r)]
     finally:
-        os.unlink(path)
+        db.close()
 
 
 # First bytes of what is carved.
@@ -380,15 +393,21 @@ def scan_all(objects: DataFrame, names: Iterable[str], done: DataFrame | None =
     return out
 
 
-def scan_nested(objects: DataFrame, depth: int = 5) -> DataFrame:
-    """Members of containers within containers, down to ``depth``: level, inode_id, member, content."""
-    level = scan(objects, container, MEMBER)
-    out = level.withColumn("level", F.lit(1))
-    for k in range(2, depth + 1):
-        level = level.select("inode_id", F.col("member").alias("_up"), "content")
-        inner = scan(level, container, MEMBER)
-        if inner.isEmpty():
+def _other_members(key: int, raw: bytes) -> Iterator[tuple]:
+    return (row for row in container(key, raw) if row[2] != raw)
+
+
+def scan_nested(objects: DataFrame, most: int = 64) -> DataFrame:
+    """Members of containers within containers, to the last: level, inode_id, member, content. A member that is equal to
+    the container it lies in is left out; more than ``most`` levels are an error. Each level is written once."""
+    stages = Stages(objects.sparkSession, "nested")
+    todo = objects.select("inode_id", "content")
+    for k in range(1, most + 2):
+        rows = scan(todo, _other_members, MEMBER)
+        level = stages.write(rows.withColumn("level", F.lit(k)), n=F.count(F.lit(1)))
+        if not stages.seen["n"]:
             break
-        level = inner
-        out = out.unionByName(inner.withColumn("level", F.lit(k)))
-    return out
+        if k > most:
+            raise ValueError(f"containers lie in each other more than {most} deep")
+        todo = level.filter("content is not null").select("inode_id", "content")
+    return stages.read()

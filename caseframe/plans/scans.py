@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
-import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -46,6 +46,18 @@ def I1_all_hits(spark, d):
     return index.scan(_documents(spark, d), _dictionary(spark))
 
 
+# Length in UTF-16 units: characters beyond the first plane take two.
+_UNITS = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+
+
+@query(_HITS + f"""select h.inode_id, word_id, 2 * ({_UNITS.format('substr(t.text, 1, h."offset")')}) as "offset", cast(2 * "length" as int) as "length" from h join t on t.inode_id = h.inode_id
+where word_id in (select word_id from w where kind = 'word')""")
+def I1_wide_content(spark, d):
+    """The words in content of two bytes a character: offsets and lengths in bytes."""
+    docs = _documents(spark, d).select("inode_id", F.encode("content", "UTF-16LE").alias("content"))
+    return index.scan(docs, _dictionary(spark))
+
+
 @query(_HITS + "select word_id, count(*) as hits, count(distinct inode_id) as inodes from h where word_id in (1, 4, 5) group by 1")
 def I2_word_kinds(spark, d):
     hits = index.scan(_documents(spark, d), _dictionary(spark, [x for x in WORDS if x[0] in (1, 4, 5)]))
@@ -174,25 +186,20 @@ def E6_mail(spark, d):
 
 
 def _database(i, c) -> bytes:
-    import os
     import sqlite3
 
-    fd, path = tempfile.mkstemp()
-    os.close(fd)
-    with sqlite3.connect(path) as db:
-        db.execute("create table visit (id integer, what text)")
-        db.executemany("insert into visit values (?, ?)", [(i, c), (i + 1, None)])
-    with open(path, "rb") as f:
-        raw = f.read()
-    os.unlink(path)
-    return raw
+    db = sqlite3.connect(":memory:")
+    db.execute("create table visit (id integer, what text)")
+    db.executemany("insert into visit values (?, ?)", [(i, c), (i + 1, None)])
+    db.commit()
+    return db.serialize()
 
 
-@query("select n_nationkey as inode_id, 'visit' as tbl, cast(n_nationkey as string) as id, n_name as what from nation union all select n_nationkey, 'visit', cast(n_nationkey + 1 as string), null from nation")
+@query("select s_suppkey as inode_id, 'visit' as tbl, cast(s_suppkey as string) as id, s_name as what from supplier union all select s_suppkey, 'visit', cast(s_suppkey + 1 as string), null from supplier")
 def E11_sqlite(spark, d):
-    objects = _made(load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("inode_id"), F.col("n_name").alias("content")), _database)
+    objects = _made(load(spark, d, "supplier").select(F.col("s_suppkey").alias("inode_id"), F.col("s_name").alias("content")), _database)
     rows = scanners.scan(objects, scanners.sqlite_rows, scanners.TABLE_ROW)
-    return rows.select(F.col("inode_id").cast("int").alias("inode_id"), "tbl", F.col("values")["id"].alias("id"), F.col("values")["what"].alias("what"))
+    return rows.select("inode_id", "tbl", F.col("values")["id"].alias("id"), F.col("values")["what"].alias("what"))
 
 
 @query("select o_orderkey as inode_id, 'jpeg' as kind, cast(length(o_orderpriority) as bigint) as \"offset\", cast(7 + length(o_orderstatus) as bigint) as \"length\" from orders")
@@ -240,12 +247,12 @@ def E16_command_streams(spark, d):
     return scanners.scan(objects, scanners.commands, scanners.LINES).select("command", "argument")
 
 
-@query("select n_nationkey as inode_id, concat('user', cast(n_nationkey as string)) as username, n_name as password from nation")
+@query("select c_custkey as inode_id, concat('user', cast(c_custkey as string)) as username, c_name as password from customer")
 def E16_credentials(spark, d):
-    n = load(spark, d, "nation")
-    content = F.concat(F.lit("user user"), F.col("n_nationkey").cast("string"), F.lit("\r\nPASS "), "n_name", F.lit("\r\nSTAT\r\n"))
-    objects = n.select(F.col("n_nationkey").cast("long").alias("inode_id"), F.encode(content, "UTF-8").alias("content"))
-    return scanners.credentials(scanners.scan(objects, scanners.commands, scanners.LINES)).withColumn("inode_id", F.col("inode_id").cast("int"))
+    n = load(spark, d, "customer")
+    content = F.concat(F.lit("user user"), F.col("c_custkey").cast("string"), F.lit("\r\nPASS "), "c_name", F.lit("\r\nSTAT\r\n"))
+    objects = n.select(F.col("c_custkey").alias("inode_id"), F.encode(content, "UTF-8").alias("content"))
+    return scanners.credentials(scanners.scan(objects, scanners.commands, scanners.LINES))
 
 
 @query("select event_id as inode_id, 0 as id, 40 as \"offset\", length(event_type) as \"length\", date_trunc('second', ts) as ts from events")
@@ -280,7 +287,7 @@ def S16_storage_listing(spark, d):
 @query("select event_id, user_id, event_type from events")
 def S18_incremental(spark, d):
     """All files of a name that have arrived, through the streaming source, into a table of their own."""
-    base = f"{ensure_checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    base = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     schema = load(spark, d, "events").schema
     q = ingest.new_rows(spark, d, schema, f"{base}/state", f"{base}/table", "events*.parquet")
     q.awaitTermination()
@@ -290,7 +297,7 @@ def S18_incremental(spark, d):
 @query("select id, stream_id, cast(sum(case when g is null or g > 300 then 1 else 0 end) over (partition by stream_id order by id) as bigint) as session from (select id, stream_id, id - lag(id) over (partition by stream_id order by id) as g from packet)", "packet")
 def T8_stateful_sessions(spark, d):
     """Sessions by packet count, the stream read by the streaming source and kept as state."""
-    base = f"{ensure_checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    base = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     rows = spark.readStream.schema(load(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     out = stream_flows.sessions(rows.select(F.col("user_id").alias("stream"), F.col("event_id").alias("id")), 300)
     out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/table").trigger(availableNow=True).start().awaitTermination()
@@ -300,7 +307,7 @@ def T8_stateful_sessions(spark, d):
 @query("select event_type, count(*) as n from events group by 1")
 def K5_periodic_export(spark, d):
     """Each batch that brought rows is exported; the exports together hold every row."""
-    base = f"{ensure_checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}"
+    base = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     rows = spark.readStream.schema(load(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     ingest.periodic_export(rows, lambda b, n: b.write.mode("overwrite").parquet(f"{base}/table/batch={n}"), f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -397,6 +404,6 @@ def K9_filtered_export(spark, d):
     """What the command line's export writes, read again."""
     from caseframe import cli
 
-    folder = f"{ensure_checkpoint_dir(spark)}/{next(tempfile._get_candidate_names())}.csv"
+    folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}.csv"
     cli.export(load(spark, d, "events"), ["user_id", "event_id"], "value > 300 and user_id < 100", folder)
     return spark.read.option("header", "true").csv(folder).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"))

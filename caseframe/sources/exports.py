@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def csv_round_trip(df: DataFrame) -> DataFrame:
     from caseframe.session import ensure_checkpoint_dir
 
     base = ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{base}/{next(tempfile._get_candidate_names())}.csv"
+    folder = f"{base}/{uuid.uuid4().hex}.csv"
     write_csv(df, folder)
     return df.sparkSession.read.option("header", "true").option("escape", '"').csv(folder)
 

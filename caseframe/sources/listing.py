@@ -21,7 +21,7 @@ def directories(files: DataFrame, path: str) -> DataFrame:
     """Names of the directories right below one."""
     base = _folder(path)
     below = files.select("path").distinct().filter(F.col("path").startswith(base) & (F.col("path") != base))
-    return below.select(F.substring_index(F.substring("path", len(base) + 1, 10_000), "/", 1).alias("name")).distinct()
+    return below.select(F.substring_index(F.expr(f"substring(path, {len(base) + 1})"), "/", 1).alias("name")).distinct()
 
 
 def stat(files: DataFrame, inodes: DataFrame, names: DataFrame) -> DataFrame:

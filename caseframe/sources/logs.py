@@ -94,8 +94,13 @@ APACHE_FORMATS = {
     "common": '%h %l %u %t "%r" %>s %b',
     "vhost_common": '%v %h %l %u %t "%r" %>s %b',
     "combined": '%h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i"',
-    "debian_combined": '%h %l %u %t "%r" %>s %O "%{Referer}i" "%{User-Agent}i"',
-    "debian_common": '%h %l %u %t "%r" %>s %O',
+    "debian_full": '%h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i" "%{forensic-id}n" %T %v',
+    "debian_debug": '%h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i" "%{forensic-id}n" %P %T',
+    "debian_combined": '%h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i" "%{forensic-id}n"',
+    "debian_forensic": '%h %l %u %t "%r" %>s %b "%{forensic-id}n"',
+    "debian_common": '%h %l %u %t "%r" %>s %b',
+    "debian_referer": "%{Referer}i -> %U",
+    "debian_agent": "%{User-agent}i",
     "referer": "%{Referer}i -> %U",
     "agent": "%{User-agent}i",
 }
@@ -151,8 +156,31 @@ def iis_schema(header: str) -> list[C.ColumnType]:
     return [C.IPType(n) if n.endswith("_ip") else C.IntegerType(n) if n.endswith("_status") or n == "status" else C.BigIntegerType(n) if n.endswith("bytes") else C.StringType(n) for n in names]
 
 
+MAX_HEADERS = 1000
+
+
+def w3c_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of text files with ``file``, ``at`` (the block they were read in) and ``n`` (a number that grows within a block)."""
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+
+
+def iis_sections(lines: DataFrame) -> DataFrame:
+    """W3C logs of several files as :func:`w3c_lines` gives them, each line read under the last ``#Fields:`` line before it in its
+    file; lines without one are left out. Columns that only some headers have are null elsewhere."""
+    is_head = F.col("value").startswith("#Fields:")
+    heads = [r[0] for r in lines.filter(is_head).select("value").distinct().orderBy("value").limit(MAX_HEADERS + 1).collect()]
+    if len(heads) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    if not heads:
+        raise ValueError("a W3C log needs a #Fields: line")
+    placed = running(lines.select("value", "file", "at", "n"), "file", "at", {"_head": ("before", F.when(is_head, F.struct("at", "n", "value")))}, ties=("n",))
+    parts = [iis(placed.filter(F.col("_head.value") == h).select("value"), h) for h in heads]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def iis(lines: DataFrame, header: str | None = None) -> DataFrame:
-    """A W3C log; date and time become ``timestamp``. The header is the first ``#Fields:`` line if not given."""
+    """A W3C log; date and time become ``timestamp``. The header is the first ``#Fields:`` line if not given: for one file with one
+    header; :func:`iis_sections` reads several."""
     if header is None:
         first = lines.filter(F.col("value").startswith("#Fields:")).select("value").first()
         if first is None:
@@ -181,12 +209,11 @@ IPTABLES_INT = ["LEN", "TOS", "TTL", "ID", "SPT", "DPT", "TYPE", "CODE", "SEQ",
 
 
 def iptables(lines: DataFrame, year: int = 2007) -> DataFrame:
-    """KEY=VALUE lines of a packet filter with time and action; lines with fewer than three keys are left out."""
+    """KEY=VALUE lines of a packet filter with time and action; lines with fewer than three keys are left out. The first value
+    of a key holds."""
     every = IPTABLES_TEXT + IPTABLES_IP + IPTABLES_INT
-    pairs = F.filter(F.split("value", " "), lambda w: F.substring_index(w, "=", 1).isin(every) & w.contains("="))
-    rows = lines.select("value", pairs.alias("_p")).filter(F.size("_p") > 2)
-    text = lambda k: F.get(F.filter("_p", lambda w: w.startswith(f"{k}=")), F.lit(0))
-    filled = lambda k: F.nullif(F.substring(text(k), len(k) + 2, 1000), F.lit(""))
+    rows = lines.filter(F.regexp_count("value", F.lit(f"(?:^| )(?:{'|'.join(every)})=")) > 2)
+    filled = lambda k: F.nullif(F.regexp_extract("value", f"(?:^| ){k}=([^ ]*)", 1), F.lit(""))
 
     def number(c: Column) -> Column:
         return F.when(c.startswith("0x"), F.conv(F.substring(c, 3, 16), 16, 10)).otherwise(c).try_cast("bigint")
@@ -224,16 +251,17 @@ def pix_messages(lines: DataFrame, year: int = 2007) -> DataFrame:
 
 
 def pix_connections(messages: DataFrame) -> DataFrame:
-    """Connections out of the message families Built, Teardown, Deny and access-list."""
+    """Connections out of the message families Built, Teardown, Deny, access-list, and files Stored or Retrieved."""
     m = F.col("message")
     built = r"Built (inbound|outbound) (\w+) connection (\d+) for (\S+):([\d.]+)/(\d+).* to (\S+):([\d.]+)/(\d+)"
     gone = r"Teardown ()(\w+) connection (\d+) (?:for|faddr) (\S+):([\d.]+)/(\d+) to (\S+):([\d.]+)/(\d+)"
     deny = r"Deny ()(\w+)() (?:src|from) (\S+):([\d.]+)/(\d+) (?:dst|to) (\S+):([\d.]+)/(\d+)"
     listed = r"access-list \S+ (permitted|denied) (\w+)() (\S+)/([\d.]+)\((\d+)\) -> (\S+)/([\d.]+)\((\d+)\)"
-    family = F.when(m.rlike(built), "Built").when(m.rlike(gone), "Teardown").when(m.rlike(deny), "Deny").when(m.rlike(listed), F.concat(F.lit("access-list "), F.regexp_extract(m, listed, 1)))
+    moved = r"^()()()()([\d.]+)() (Stored|Retrieved) ([\d.]+):(.*)$"
+    family = F.when(m.rlike(moved), F.regexp_extract(m, moved, 7)).when(m.rlike(built), "Built").when(m.rlike(gone), "Teardown").when(m.rlike(deny), "Deny").when(m.rlike(listed), F.concat(F.lit("access-list "), F.regexp_extract(m, listed, 1)))
 
     def g(i: int) -> Column:
-        pick = F.when(family == "Built", F.regexp_extract(m, built, i)).when(family == "Teardown", F.regexp_extract(m, gone, i)).when(family == "Deny", F.regexp_extract(m, deny, i)).otherwise(F.regexp_extract(m, listed, i))
+        pick = F.when(family.isin("Stored", "Retrieved"), F.regexp_extract(m, moved, {5: 5, 8: 8}.get(i, 1))).when(family == "Built", F.regexp_extract(m, built, i)).when(family == "Teardown", F.regexp_extract(m, gone, i)).when(family == "Deny", F.regexp_extract(m, deny, i)).otherwise(F.regexp_extract(m, listed, i))
         return F.when(pick != "", pick)
 
     return messages.filter(family.isNotNull()).select(

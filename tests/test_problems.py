@@ -271,3 +271,15 @@ def test_running(spark, ranges):
             vs = [x[2] for x in mine[: i + 1]]
             want.append((*r, i + 1, sum(vs), max(vs), max(vs[:-1], default=None)))
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_running_outlier(spark):
+    """One far value leaves the others in many ranges; a key of most rows and the table without a key are cut alike."""
+    rows = [(1 if i % 10 else 2, i, 1) for i in range(5000)] + [(1, 10**12, 1), (2, None, 1)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    cuts = running._cuts(df.withColumn("_o", F.col("o").cast("double")), None)
+    assert len(cuts) >= running.LEAST_RANGES - 1 and cuts[len(cuts) // 2] < 5000
+    got = {(r["k"], r["o"]): r["n"] for r in running.running(df, "k", "o", {"n": ("count", F.lit(1))}).collect()}
+    assert got[(1, 10**12)] == 4501 and got[(2, None)] == 1 and got[(2, 0)] == 2 and len(got) == len(rows)
+    whole = running.running(df, None, "o", {"n": ("count", F.lit(1))}).agg(F.max("n"), F.count_distinct("n")).first()
+    assert tuple(whole) == (5002, 5002)

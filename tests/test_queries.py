@@ -2,7 +2,7 @@
 
 import pytest
 
-from caseframe.plans import filters, joins, problem_sql, problems, readers, registry, scalars, scans  # noqa: F401
+from caseframe.plans import filters, joins, problem_sql, problems, protocols, readers, registry, scalars, scans  # noqa: F401
 from compare import connect, spark_rows, sql_rows
 
 QUERIES = {**registry.QUERIES, **problems.QUERIES}

@@ -4,12 +4,14 @@ import datetime as dt
 import gzip
 import io
 import tarfile
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseframe import cli
 from caseframe import columns as C
-from caseframe.operators import flows, index, scanners
+from caseframe.operators import flows, index, lookup, scanners
 from caseframe.sources import exports, listing, logs
 from caseframe.streaming import ingest
 
@@ -127,3 +129,70 @@ def test_dates(spark):
 
     assert dates.guess_date("3 Feb 2010 04:05:06") == dt.datetime(2010, 2, 3, 4, 5, 6)
     assert dates.guess_date("1138798072") == dt.datetime(2006, 2, 1, 12, 47, 52)
+
+
+def test_w3c_sections(spark, tmp_path):
+    """Each line is read under the header before it in its own file."""
+    (tmp_path / "a.log").write_text("#Fields: date time c-ip sc-status\n2008-01-01 10:00:00 10.0.0.1 200\n#Fields: date time sc-status c-ip cs-uri\n2008-01-01 10:00:01 404 10.0.0.2 /x\n")
+    (tmp_path / "b.log").write_text("2007-01-01 lost\n#Fields: date time c-ip sc-status\n2008-01-01 10:00:02 10.0.0.3 500\n")
+    rows = logs.iis_sections(logs.w3c_lines(spark, str(tmp_path)))
+    got = sorted((str(r["timestamp"]), r["c_ip"], r["sc_status"], r["cs_uri"]) for r in rows.collect())
+    assert got == [("2008-01-01 10:00:00", 167772161, 200, None), ("2008-01-01 10:00:01", 167772162, 404, "/x"), ("2008-01-01 10:00:02", 167772163, 500, None)]
+
+
+def test_many_masks(spark):
+    """Other numbers than masks push no route out, and all 33 masks count."""
+    routes = [(167772161 & (0xFFFFFFFF << (32 - b)), (0xFFFFFFFF << (32 - b)) & 0xFFFFFFFF, b) for b in range(33)] + [(0, m, 99) for m in range(1, 41)] + [(5, None, 7)]
+    df = spark.createDataFrame(routes, "network long, netmask long, whois_id int")
+    ips = spark.createDataFrame([(167772161,), (167772160,), (None,)], "ip long")
+    assert {tuple(r) for r in lookup.longest_prefix(ips, "ip", df).collect()} == {(167772161, 32), (167772160, 31)}
+
+
+def test_broken_objects(spark, monkeypatch):
+    """What was read before an error stays, and the error can be had as a row; members that are too large have no content."""
+    ok = b"GET /a HTTP/1.1\r\nHost: h\r\n\r\n"
+    df = spark.createDataFrame([(1, bytearray(ok + b"GET /b HTTP/1.1\r\nContent-Length: x\r\n\r\n")), (2, bytearray(ok)), (3, None)], "inode_id long, content binary")
+    assert sorted((r["inode_id"], r["url"]) for r in scanners.scan(df, scanners.http_messages, scanners.HTTP).collect()) == [(1, "http://h/a"), (2, "http://h/a")]
+    rows = scanners.scan(df, scanners.http_messages, scanners.HTTP, errors=True).collect()
+    assert [(r["inode_id"], "x" in r["error"]) for r in rows if r["error"]] == [(1, True)] and len(rows) == 3
+    monkeypatch.setattr(scanners, "MAX_MEMBER", 10)
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("small", b"x" * 10)
+        z.writestr("large", b"x" * 11)
+    assert [(m, c) for _, m, c in scanners.unzip(1, made.getvalue())] == [("small", b"x" * 10), ("large", None)]
+    assert [c for _, _, c in scanners.gunzip(1, gzip.compress(b"y" * 11))] == [None]
+
+
+def test_deep_nesting(spark):
+    """Containers are opened to the last, however deep."""
+    raw = b"core"
+    for _ in range(9):
+        raw = gzip.compress(raw)
+    rows = scanners.scan_nested(spark.createDataFrame([(1, bytearray(raw)), (2, None)], "inode_id long, content binary")).collect()
+    assert sorted(r["level"] for r in rows) == list(range(1, 10)) and [bytes(r["content"]) for r in rows if r["level"] == 9] == [b"core"]
+    with pytest.raises(ValueError):
+        scanners.scan_nested(spark.createDataFrame([(1, bytearray(raw))], "inode_id long, content binary"), most=4)
+
+
+def test_large_gap(spark):
+    """A gap above the window is listed instead of filled, so that later offsets can be told."""
+    far = flows.WINDOW + 100
+    df = spark.createDataFrame([(1, 1, 1, 0, bytearray(b"ab")), (2, 1, 1, 4, bytearray(b"cd")), (3, 1, 1, far, bytearray(b"ef"))], "id long, stream long, session long, seq long, data binary")
+    r = flows.reassembled(df).first()
+    assert bytes(r["content"]) == b"ab\0\0cdef" and [tuple(g) for g in r["gaps"]] == [(6, far - 6)]
+
+
+def test_wide_words(spark):
+    """Binary content is searched in every encoding of a word, by bytes; literals and patterns as they stand."""
+    dictionary = spark.createDataFrame([(1, "Report", "word", "c"), (2, "ab", "literal", "c"), (3, "ab", "word", "c"), (4, "\u0416\u0416", "literal", "c"), (5, "m\u00fc", "word", "c")], "word_id long, word string, word_type string, class string")
+    content = "xREPORT".encode("utf-16-le") + b"--report ab" + "M\u00fc".encode("utf-16-le") + "m\u00fc".encode()
+    df = spark.createDataFrame([(7, bytearray(content))], "inode_id long, content binary")
+    got = {(r["word_id"], r["offset"], r["length"]) for r in index.scan(df, dictionary).collect()}
+    assert got == {(1, 2, 12), (1, 16, 6), (2, 23, 2), (5, 25, 4), (5, 29, 3)}
+
+
+def test_stored_files(spark):
+    lines = spark.createDataFrame([("Jan  2 03:04:05 fw %PIX-6-303002: 192.168.0.1 Stored 192.168.3.1:filename.ext",), ("Jan  2 03:04:06 fw %PIX-6-303002: 192.168.0.2 Retrieved 192.168.3.1:other",)], "value string")
+    got = [(r["action"], r["src_host"], r["dst_host"]) for r in logs.pix_connections(logs.pix_messages(lines)).collect()]
+    assert got == [("Stored", 3232235521, 3232236289), ("Retrieved", 3232235522, 3232236289)]
