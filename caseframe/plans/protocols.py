@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseframe import columns as C
+from caseframe import query as Q
 from caseframe.functions import text
-from caseframe.operators import lookup, protocols, scanners
+from caseframe.operators import flows, lookup, protocols, scanners
+from caseframe.plans import joins
 from caseframe.plans.registry import query, relation
 from caseframe.plans.scans import _made
 from caseframe.session import load
@@ -133,3 +138,102 @@ def X25_quoted(spark, d):
 @query("select doc_id as inode_id, cast(16 * i as bigint) as \"offset\", substr(h, cast(32 * i + 1 as int), 32) as hex from (select doc_id, h, unnest(range(0, (length(h) + 31) // 32)) as i from (select doc_id, hex(encode(text)) as h from documents where text is not null))")
 def X26_hex_dump(spark, d):
     return load(spark, d, "documents").select(F.col("doc_id").alias("inode_id"), F.explode(text.hex_dump(F.encode("text", "UTF-8"))).alias("r")).select("inode_id", "r.offset", "r.hex")
+
+
+# ---- distinct lists (A4) and browses (Q11) --------------------------------------------------------------------------
+
+LISTS = {
+    "A4_mime": ("type", "mime"),
+    "A4_kinds": ("type", "type"),
+    "A4_hosts": ("http", "host"),
+    "A4_methods": ("http", "method"),
+    "A4_statuses": ("http", "status"),
+    "A4_ports": ("connection_details", "dest_port"),
+    "A4_word_types": ("word", "word_type"),
+    "A4_commands": ("command", "command_type"),
+    "A4_notes": ("annotate", "note"),
+}
+
+
+def _list(name: str, table: str, column: str):
+    def values(spark, d):
+        """Values of one column for a choice; they are combined in each task before they are moved."""
+        return relation(spark, d, table).select(column).distinct()
+
+    values.__name__ = name
+    query(f"select distinct {column} from {table}", table)(values)
+
+
+for _name, (_table, _column) in LISTS.items():
+    _list(_name, _table, _column)
+
+
+@query("select c.inode_id, c.ftp_session_id, c.command_type, c.command, s.username from command c join (select inode_id, min(username) as username from session group by 1) s on s.inode_id = c.ftp_session_id where c.command_type = 'reverse'", "command", "session")
+def Q11_browse_ftp(spark, d):
+    s = relation(spark, d, "session").groupBy(F.col("inode_id").alias("ftp_session_id")).agg(F.min("username").alias("username"))
+    cols = [C.BigIntegerType("inode_id", table="command"), C.BigIntegerType("ftp_session_id", table="command"), C.StringType("command_type", table="command"), C.StringType("command", table="command"), C.StringType("username", table="session")]
+    return Q.run(Q.QuerySpec(cols, "command_type = reverse", order=None, key="ftp_session_id"), {"command": relation(spark, d, "command").select("inode_id", "ftp_session_id", "command_type", "command"), "session": s})
+
+
+@query("select t.inode_id, t.mime, t.type, i.status, i.size from type t join inode i using (inode_id) where t.type ilike '%html%'", "type", "inode")
+def Q11_browse_types(spark, d):
+    cols = [C.BigIntegerType("inode_id", table="type"), C.StringType("mime", table="type"), C.StringType("type", table="type"), C.StringType("status", table="inode"), C.BigIntegerType("size", table="inode")]
+    return Q.run(Q.QuerySpec(cols, "type contains html", order=None), {"type": relation(spark, d, "type"), "inode": relation(spark, d, "inode").select("inode_id", "status", "size")})
+
+
+@query("select f.name, upper(md5(d.text)) as md5, octet_length(encode(d.text)) as size from documents d join file f on f.inode_id = d.doc_id where octet_length(encode(d.text)) >= 16 and f.status = 'deleted'", "file")
+def Q11_browse_digests(spark, d):
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("inode_id"), "text")
+    known = scanners.digests(docs, "inode_id", "text").join(docs.select("inode_id", F.octet_length("text").alias("size")), "inode_id")
+    return known.join(relation(spark, d, "file").filter("status = 'deleted'").select("inode_id", "name"), "inode_id").select("name", "md5", "size")
+
+
+@query("select id, netname, country, descr from whois where country = 'XB' and netname is not null")
+def Q11_browse_whois(spark, d):
+    cols = [C.IntegerType("id"), C.StringType("netname"), C.StringType("country"), C.StringType("descr")]
+    return Q.run(Q.QuerySpec(cols, "country = XB", order=None), {"whois": load(spark, d, "whois").filter("country = 'XB' and netname is not null")})
+
+
+@query("select inode_id, sender, recipient, data from (select event_id as inode_id, concat('user', cast(user_id as string)) as sender, '#' || event_type as recipient, concat('hello: ', cast(event_id as string)) as data from events) where recipient = '#error'")
+def Q11_browse_irc(spark, d):
+    cols = [C.BigIntegerType("inode_id"), C.StringType("sender"), C.StringType("recipient"), C.StringType("data")]
+    return Q.run(Q.QuerySpec(cols, 'recipient = "#error"', order=None), {"irc": E16_irc(spark, d).select("inode_id", "sender", "recipient", "data")})
+
+
+@query("""select 'http' as what, count(*) as n from http union all select 'irc', count(*) from events union all select 'ftp', count(*) from command union all select 'mail', count(*) from documents where kind = 'mail'""", "http", "command")
+def A15_protocol_counts(spark, d):
+    """Counts per protocol, each from its own table."""
+    docs = load(spark, d, "documents").filter("kind = 'mail'")
+    each = {"http": relation(spark, d, "http"), "irc": load(spark, d, "events"), "ftp": relation(spark, d, "command"), "mail": docs}
+    return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("what"), "n") for k, t in each.items()])
+
+
+@query("""select m.event_id as message_id, h.inode_id from events m join http h on contains(h.url, concat('page=', cast(m.event_id as string))) and h.host = concat('www.site', cast(m.user_id as string), case when m.user_id < 50 then '.com.au' when m.user_id < 100 then '.example.org' else '.co.uk' end) where m.event_type = 'signup'""", "http")
+def J15_message_requests(spark, d):
+    """Messages with the requests whose address contains their id: a containment test within the equal host, never all with all."""
+    h = relation(spark, d, "http").select("inode_id", "host", "url")
+    m = relation(spark, d, "http").filter("content_type = 'video/mpeg'").select(F.col("inode_id").alias("message_id"), "host", F.concat(F.lit("page="), F.col("inode_id").cast("string")).alias("_part"))
+    return lookup.containing(h, "url", m, "_part", "host").select("message_id", "inode_id")
+
+
+@query("select user_id as stream, session, array_to_string(list(event_type order by event_id), ',') as parts from (select *, cast(sum(case when g is null or g > 2000 then 1 else 0 end) over (partition by user_id order by event_id) as bigint) as session from (select *, event_id - lag(event_id) over (partition by user_id order by event_id) as g from events)) group by 1, 2")
+def T7_datagram_order(spark, d):
+    """Datagrams of each session in order of arrival."""
+    rows = flows.datagrams(joins._segments(spark, d))
+    return rows.select("stream", "session", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+@query("""select stream, session, sum(new)::bigint as bytes, max(stop) - min(seq) as span from (
+  select *, greatest(seq + n - greatest(seq, coalesce(seen, seq)), 0) as new, seq + n as stop from (
+    select *, max(seq + n) over (partition by stream, session order by seq, id rows between unbounded preceding and 1 preceding) as seen from (
+      select user_id as stream, event_id as id, cast(floor(value * 3) as bigint) as seq, length(event_type) as n, cast(sum(case when g is null or g > 2000 then 1 else 0 end) over (partition by user_id order by event_id) as bigint) as session
+      from (select *, event_id - lag(event_id) over (partition by user_id order by event_id) as g from events)))) group by 1, 2""")
+def T2_reassembled_bytes(spark, d):
+    """Bytes that segments added to their stream, and the bytes that content and gaps span: what reassembly must give."""
+    got = flows.reassembled(joins._segments(spark, d))
+    events = F.filter("events", lambda x: x.endswith(":data"))
+    missing = F.aggregate(F.transform("gaps", lambda g: g["length"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    span = (F.octet_length("content") + missing).alias("span")
+    # Every byte that was sent is a letter, what fills gaps is zero.
+    kept = F.octet_length("content") - (F.length(F.decode("content", "ISO-8859-1")) - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\0"), F.lit(""))))
+    return got.filter(F.size(events) > 0).select("stream", "session", kept.cast("long").alias("bytes"), span.cast("long").alias("span"))
