@@ -55,9 +55,3 @@ class Stages:
     def read(self, first: int = 0, last: int | None = None) -> DataFrame:
         """The tables from ``first`` up to, not including, ``last`` as one scan."""
         return self.spark.read.schema(self.schema).parquet(*self.paths[first:last])
-
-    def drop(self, first: int = 0, last: int | None = None) -> None:
-        """Deletes tables that no later one needs."""
-        for path in self.paths[first:last]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
