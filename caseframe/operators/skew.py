@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 TASK_ROWS = 1_000_000  # rows of one key that one task may hold
 MOST_KEYS = 10_000
@@ -33,11 +34,19 @@ def hot_keys(df: DataFrame, key: str, least: int | None = None, rows: int | None
     return {r[0]: min(MOST_SALTS, ceil(r["n"] / least)) for r in top}
 
 
-def _salts(key: str, hot: dict) -> Column:
+def _literal(value: object, kind: DataType) -> Column:
+    """A key as it was collected; a struct comes as a Row, which lit() doesn't know."""
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
+
+def _salts(df: DataFrame, key: str, hot: dict) -> Column:
     """The number of salts of a key, null on keys that aren't hot."""
     by: dict[int, list] = {}
+    kind = df.schema[key].dataType
     for k, n in hot.items():
-        by.setdefault(n, []).append(k)
+        by.setdefault(n, []).append(_literal(k, kind) if isinstance(k, Row) else k)
     out = F.lit(None).cast("int")
     for n, ks in sorted(by.items()):
         out = F.when(F.col(key).isin(ks), n).otherwise(out)
@@ -48,14 +57,14 @@ def salted(df: DataFrame, key: str, hot: dict, by: Column) -> DataFrame:
     """Adds ``_salt``: spread by the hash of ``by`` on hot keys, 0 on the others."""
     if not hot:
         return df.withColumn("_salt", F.lit(0))
-    return df.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), _salts(key, hot)).cast("int"), F.lit(0)))
+    return df.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), _salts(df, key, hot)).cast("int"), F.lit(0)))
 
 
 def replicated(df: DataFrame, key: str, hot: dict) -> DataFrame:
     """The other side of :func:`salted`: rows of hot keys once for each salt."""
     if not hot:
         return df.withColumn("_salt", F.lit(0))
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(_salts(key, hot), F.lit(1)) - 1)))
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(_salts(df, key, hot), F.lit(1)) - 1)))
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, by: Column, how: str = "left", hot: dict | None = None, least: int | None = None, rows: int | None = None) -> DataFrame:

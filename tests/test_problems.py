@@ -121,6 +121,23 @@ def test_salted_queries(name, spark, data, monkeypatch):
     assert got == sorted(map(tuple, problems.QUERIES[name](spark, data).collect()))
 
 
+@pytest.mark.parametrize("name", ["p6_found", "p6_orphans", "p6_report"])
+def test_salted_struct_keys(name, spark, data, monkeypatch):
+    """The state's keys are structs of table and id; hot ones are salted like any others."""
+    from caseframe.plans import problems
+
+    want = sorted(map(tuple, problems.QUERIES[name](spark, data).collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    assert want and sorted(map(tuple, problems.QUERIES[name](spark, data).collect())) == want
+
+
+def test_salted_struct_with_null(spark):
+    facts = spark.createDataFrame([("a", None, i) for i in range(9)] + [("a", 1, i) for i in range(9)] + [("b", 1, 0)], "t string, k long, i int").select(F.struct("t", "k").alias("key"), "i")
+    dim = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "t string, k long, v string").select(F.struct("t", "k").alias("key"), "v")
+    got = skew.lookup_join(facts, dim, "key", F.col("i"), least=4).collect()
+    assert Counter((r["key"]["t"], r["key"]["k"], r["v"]) for r in got) == {("a", None, None): 9, ("a", 1, "x"): 9, ("b", 1, "y"): 1}
+
+
 def test_deep_chain(spark):
     """A chain of 100,000 beside a circle with a tail: three numbers a node, whatever the depth."""
     n = 100_000
