@@ -13,9 +13,11 @@ so on); foreign characters take six. So the literal table of a dictionary, which
 knows how often each letter and each change of class occurs. And each candidate is compressed behind the same ballast of
 frequent letters, whose size is taken off again: without it zstandard stores short texts as they are.
 
-The dictionaries are trained on stretches of the collection itself: first on those that recur, without garbled forms of more
-frequent ones, then also on a sample (``SAMPLE`` stretches, chosen by hash from all) that the first dictionaries find sound.
-A stretch teaches the language whose dictionary compresses it best. Every distinct stretch of the whole collection is judged once.
+The dictionaries are trained on the whole collection: first on all stretches that recur, without garbled forms of more frequent
+ones, then on all stretches that the first dictionaries find sound. A stretch teaches the language whose dictionary compresses it
+best. Only counts reach the driver: how many distinct words a language has and how often each symbol occurs in them
+(:func:`tallies`). The samples that zstandard is trained on hold the symbols in these proportions, in any order, since a literal
+table knows no order. Every distinct stretch of the whole collection is judged by the last dictionaries.
 """
 
 from __future__ import annotations
@@ -25,30 +27,29 @@ import math
 import random
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.operators.parallel import worker_partitions
 from caseframe.operators.skew import lookup_join
 from caseframe.session import ensure_checkpoint_dir
 
-RECURRING = 20_000  # recurring stretches that train the first dictionaries
-LEAST_COUNT = 3
-SAMPLE = 4_000  # further stretches for the second ones
+LEAST_COUNT = 3  # stretches that recur so often train the first dictionaries
+ROUNDS = 2
 MARGIN = 10.0
 CHAIN_BITS = {True: 6.0, False: 12.0}  # to UTF-8, to another
 LOST_BITS = 8.0
 DICTIONARY_BYTES = 1024
 BALLAST, FINE, CLOSE = 64, 8, 16
-SAMPLES, SAMPLE_BYTES, WORDS = 48, 1000, 120
-PRIOR = 8  # every so many samples hold the alphabet and the uses of signs
-TRAIN_CHARS = 400  # letters of a stretch that training reads; every stretch is judged whole
+SAMPLES, SAMPLE_BYTES, WORDS = 48, 1000, 120  # samples are made of counts: as if each held so many words of a language
+PRIOR = 8  # and every so many of them the alphabet and the uses of signs
 KEPT = 200_000
 # Encodings that text was read with by mistake, and those it may have been written in.
 READ = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1253", "cp1250", "iso8859_15"]
@@ -288,23 +289,55 @@ def alphabet_words(name: str) -> list[str]:
     return [body, body[:1].upper() + body[1:], body.upper()]
 
 
+Tally = tuple[int, np.ndarray, list[str]]  # number of words, occurrences of each symbol in them, the words of most stretches
+NONE: Tally = (0, np.zeros(256, dtype=np.int64), [])
+# The dictionaries that words of a language train: its own and, beyond Latin script, those of the same script.
+TEACHES = {n: (n, *(m for m in SCRIPTS if m != n and SCRIPTS[m] == SCRIPTS.get(n))) for n in ALPHABETS}
+
+
+def symbols_of(words: Iterable[tuple[str, str]]) -> dict[str, tuple[int, np.ndarray]]:
+    """Number and symbols by name of distinct (name of a dictionary, word); those of no name are ASCII, alike in all languages."""
+    number: Counter[str] = Counter()
+    symbols: dict[str, np.ndarray] = {}
+    for name, word in words:
+        number[name] += 1
+        symbols.setdefault(name, np.zeros(256, dtype=np.int64))[:] += np.bincount(np.frombuffer(LANGUAGES[name or "en"].write(Text(word)), dtype=np.uint8), minlength=256)
+    return {n: (number[n], x) for n, x in symbols.items()}
+
+
+def tallies(words: dict[tuple[str, str], int]) -> dict[str, Tally]:
+    """Tallies by name of (name of a dictionary, word) and the number of stretches with it."""
+    top: dict[str, list[str]] = {}
+    for name, word in sorted(words, key=lambda w: (-words[w], w)):
+        top.setdefault(name, []).append(word)
+    return {n: (*x, top[n][:WORDS]) for n, x in symbols_of(words).items()}
+
+
 class Packer:
     """A zstandard dictionary of one language."""
 
-    def __init__(self, name: str, words: list[str], common: list[str]) -> None:
-        """Trained on samples of different words: the literals of what zstandard finds twice within a sample don't count."""
+    def __init__(self, name: str, own: Tally, common: Tally) -> None:
+        """Trained on samples that hold the symbols as often as ``WORDS`` words of the language, some ASCII words of the
+        collection and a part of the alphabet do in the mean over all; and the words of most stretches, which become what texts
+        are compared with (they are found in every sample, so their literals don't count)."""
         self.name = name
-        rng, words, write = random.Random(name), sorted(set(words)), LANGUAGES[name].write
-        prior, samples = [*alphabet_words(name), *([] if name in SCRIPTS else USES)], []
-        for i in range(SAMPLES):
-            own = rng.sample(words, min(len(words), WORDS))
-            more = WORDS // 8 if name in SCRIPTS else max(WORDS // 4, WORDS - len(own))
-            mixed = [*own, *rng.sample(common, min(len(common), more)), *(prior if i % PRIOR == 0 else [])]
-            rng.shuffle(mixed)
-            samples.append(b"".join(write(Text(w)) for w in mixed if w)[:SAMPLE_BYTES])
+        rng, write = random.Random(name), LANGUAGES[name].write
+        prior = b"".join(write(Text(w)) for w in [*alphabet_words(name), *([] if name in SCRIPTS else USES)])
+        more = WORDS // 8 if name in SCRIPTS else max(WORDS // 4, WORDS - own[0])
+        mean = np.bincount(np.frombuffer(prior, dtype=np.uint8), minlength=256) / PRIOR
+        for (number, symbols, _), most in ((own, WORDS), (common, more)):
+            mean = mean + symbols * (min(number, most) / max(1, number))
+        mean *= min(1.0, SAMPLE_BYTES / mean.sum())
+        upto = np.rint(np.arange(SAMPLES + 1)[:, None] * mean).astype(int)
+        top, samples = [write(Text(w)) for w in own[2]], []
+        for n in np.diff(upto, axis=0):
+            loose = np.repeat(np.arange(256), n).tolist()
+            rng.shuffle(loose)
+            samples.append(bytes(loose) + b"".join(top)[:SAMPLE_BYTES])
         self.raw = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=8, level=1).as_bytes()
-        frequent = [x for x, _ in Counter(samples[0]).most_common(12)]
+        frequent = np.argsort(-mean, kind="stable")[:12].tolist()
         self.ballasts = [bytes(rng.choice(frequent) for _ in range(BALLAST)) for _ in range(FINE)]
+        self.zip = None
 
     def ready(self) -> None:
         """Compressors can't be sent; each worker makes its own."""
@@ -320,34 +353,38 @@ class Packer:
         return 8 * sum(len(self.zip.compress(b + symbols)) - n for b, n in zip(self.ballasts[:times], self.empty)) / times
 
 
-def without_garbled(stretches: dict[str, int]) -> list[str]:
-    """The stretches that aren't broken and not a garbled form of a more frequent one."""
-    return [s for s, n in sorted(stretches.items()) if not broken(s) and not any(stretches.get(c, 0) > n or stretches.get(bare(c), 0) > n for c in readings(s))]
-
-
 class Model:
     """Dictionaries of all languages, trained on sound stretches."""
 
-    def __init__(self, sound: list[str], rounds: int = 2) -> None:
-        given = {s: Text(s).languages for s in sound}
-        pool = sorted({*COMMON} | {w for s in sound for w in s[:TRAIN_CHARS].split(" ") if w.isascii()})
+    def __init__(self, sound: Iterable[str] = (), rounds: int = ROUNDS) -> None:
+        """Of stretches in memory; without rounds there are no dictionaries yet (:func:`modelled`)."""
+        self.packers: dict[str, Packer] = {}
         for _ in range(rounds):
-            words: dict[str, list[str]] = {n: [] for n in LANGUAGES}
-            for s, names in given.items():
-                for n in names:
-                    words[n] += s[:TRAIN_CHARS].split(" ")
-            self.packers = {n: Packer(n, w + [x for m in words if n in SCRIPTS and m != n and SCRIPTS.get(m) == SCRIPTS[n] for x in words[m]], pool) for n, w in words.items()}
+            words = Counter({("", w): 0 for w in COMMON})
+            words.update(x for s in sound for x in self.teaches(s))
+            self.learn(tallies(words))
             self.ready()
-            given = {s: (min(names, key=lambda n: self.packers[n].bits(Text(s[:TRAIN_CHARS]))),) if len(names) > 1 else names for s, names in given.items()}
         self.unready()
 
+    def learn(self, counts: dict[str, Tally]) -> None:
+        self.packers = {n: Packer(n, counts.get(n, NONE), counts.get("", NONE)) for n in LANGUAGES}
+
+    def teaches(self, stretch: str) -> set[tuple[str, str]]:
+        """(name of a dictionary, word) of a sound stretch: of the language that compresses it best, of all that may have
+        written it if there are no dictionaries yet; ASCII words also without a name."""
+        text = Text(stretch)
+        names, words = text.languages, {w for w in stretch.split(" ") if w}
+        if self.packers and len(names) > 1:
+            names = (min(names, key=lambda n: self.packers[n].bits(text)),)
+        return {(m, w) for n in names for m in TEACHES[n] for w in words} | {("", w) for w in words if w.isascii()}
+
     def ready(self) -> None:
         for p in self.packers.values():
             p.ready()
         self.kept: dict[str, tuple[bool, str | None]] = {}
 
     def unready(self) -> None:
-        del self.kept
+        self.__dict__.pop("kept", None)
         for p in self.packers.values():
             p.zip = None
 
@@ -438,9 +475,7 @@ def _judged(stretches: DataFrame, model: Model, garbled: bool) -> DataFrame:
     shared = stretches.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if not hasattr(model, "kept"):
-            model.ready()
+        model = _ready(shared.value)
         for batch in batches:
             judged = [model.judge(s) for s in batch.column(0).to_pylist()]
             at = [i for i, (g, _) in enumerate(judged) if g == garbled]
@@ -449,13 +484,71 @@ def _judged(stretches: DataFrame, model: Model, garbled: bool) -> DataFrame:
     return stretches.select("own").mapInArrow(run, "own string, restored string")
 
 
+def _ready(model: Model) -> Model:
+    """A model as it came to a worker, made ready once."""
+    if not hasattr(model, "kept"):
+        model.ready()
+    return model
+
+
+def modelled(sound: DataFrame) -> Model:
+    """A model of all distinct stretches (own). The driver gets the tallies: some 250 numbers a language."""
+    model, spark = Model(rounds=0), sound.sparkSession
+    given = spark.createDataFrame([("", w, 0) for w in COMMON], "name string, word string, n long")
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def words(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = _ready(shared.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    rows = [(*x, n) for x, n in Counter(x for s in batch.column(0).slice(at, 1000).to_pylist() for x in model.teaches(s)).items()]
+                    yield _batch(rows, {"name": pa.string(), "word": pa.string(), "n": pa.int64()})
+
+        def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = symbols_of((n, w) for batch in batches for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            rows = [(n, k, int(v)) for n, (number, x) in got.items() for k, v in [(-1, number), *enumerate(x)] if v]
+            yield _batch(rows, {"name": pa.string(), "symbol": pa.int32(), "n": pa.int64()})
+
+        each = sound.select("own").mapInArrow(words, "name string, word string, n long").unionByName(given).groupBy("name", "word").agg(F.sum("n").alias("n")).checkpoint()
+        counts: dict[str, np.ndarray] = {}
+        for name, symbol, n in each.select("name", "word").mapInArrow(symbols, "name string, symbol int, n long").groupBy("name", "symbol").agg(F.sum("n")).collect():
+            counts.setdefault(name, np.zeros(257, dtype=np.int64))[symbol] = n  # the number of words is the last
+        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "word"))
+        top: dict[str, list[str]] = {}
+        for name, word in each.withColumn("rank", rank).filter(F.col("rank") <= WORDS).orderBy("name", "rank").select("name", "word").collect():
+            top.setdefault(name, []).append(word)
+        model.learn({n: (int(x[-1]), x[:-1], top[n]) for n, x in counts.items()})
+    return model
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def without_garbled(recurring: DataFrame) -> DataFrame:
+    """(own) of the distinct stretches (own, n) that aren't broken and not a garbled form of a more frequent one."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not broken(s) for s in batch.column(0).to_pylist()], pa.bool_()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(s, n, c) for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in {x for c in readings(s) for x in (c, bare(c))}]
+            yield _batch(rows, {"own": pa.string(), "n": pa.int64(), "cand": pa.string()})
+
+    sane = recurring.select("own", "n").mapInArrow(whole, "own string, n long")
+    known = recurring.select(F.col("own").alias("cand"), F.col("n").alias("more"))
+    less = sane.mapInArrow(read, "own string, n long, cand string").join(known, "cand").filter("more > n").select("own").distinct()
+    return sane.select("own").join(less, "own", "left_anti")
+
+
 def trained(stretches: DataFrame) -> Model:
-    """A model of (own, n), the distinct stretches with their counts. ``RECURRING`` stretches and a sample of ``SAMPLE`` others reach the
-    driver."""
-    often = stretches.filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "own").limit(RECURRING).collect()
-    sound = without_garbled({r["own"]: r["n"] for r in often})
-    sample = stretches.filter(F.col("n") < LEAST_COUNT).orderBy(F.xxhash64("own"), "own").limit(SAMPLE).repartition(worker_partitions(stretches))
-    return Model(sorted({*sound, *(r["own"] for r in _judged(sample, Model(sound), False).collect())}))
+    """A model of (own, n), the distinct stretches with their counts: of all that recur, then of all that are sound by these."""
+    recurring = without_garbled(stretches.filter(F.col("n") >= LEAST_COUNT)).repartition(worker_partitions(stretches)).checkpoint()
+    others = _judged(stretches.filter(F.col("n") < LEAST_COUNT), modelled(recurring), False).select("own").checkpoint()
+    return modelled(recurring.unionByName(others))
 
 
 def garbled(table: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -61,3 +61,37 @@ def test_table(spark):
     got = {(r["id"], r["field"]): r["restored"] for r in M.garbled(df, "id", ["a", "b"]).collect()}
     assert got == {(2, "a"): SOUND[0], (3, "b"): "x" * 50_000 + "é"}
     assert M.garbled(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
+def test_trained_on_everything(spark, monkeypatch):
+    """No number of stretches or of letters is too large to be counted: the tallies hold every word of every sound stretch, also
+    of 4,100 that occur once and of one with 9,000 letters."""
+    syllables = ["kä", "lö", "mü", "ra", "ne", "ti", "so", "du", "be", "ga", "fi", "wo", "la", "he", "ri", "nu"]
+    words = [f"mü{a}{b}{c}" for a in syllables for b in syllables for c in syllables] + ["fähre", "größe", "übung", "schön"]
+    long = " ".join(f"wäge{a}{b}" for a in syllables for b in syllables) + " räume" * 1_000
+    rows = [(s, 3) for s in SOUND] + [(w, 1) for w in words] + [(long, 1)]
+    learned = []
+    monkeypatch.setattr(M.Model, "learn", lambda self, counts, learn=M.Model.learn: (learned.append(counts), learn(self, counts)) and None)
+    M.ensure_checkpoint_dir(spark)
+    stretches = spark.createDataFrame(rows, "own string, n long")
+    model = M.trained(stretches)
+    assert len(learned) == 2 * M.ROUNDS
+    first = M.Model(SOUND)
+    assert {n: p.raw for n, p in first.packers.items()} == {n: p.raw for n, p in M.modelled(stretches.filter("n = 3").select("own")).packers.items()}
+    first.ready()
+    sound = [s for s, n in rows if n == 3 or not first.judge(s)[0]]
+    assert len(sound) > 4_080 and long in sound
+    all_words = {w for s in sound for w in s.split(" ")}
+    taught = M.Model(sound)
+    assert {n: p.raw for n, p in taught.packers.items()} == {n: p.raw for n, p in model.packers.items()}
+    # Before there are dictionaries a stretch teaches every language that may have written it.
+    in_all = learned[2]
+    assert in_all["de"][0] >= len({w for s in sound for w in s.split(" ") if "ä" in w and "é" not in w and "Ã" not in w}) > 700
+    assert in_all[""][0] == len({*M.COMMON} | {w for w in all_words if w.isascii()})
+
+
+def test_without_garbled(spark):
+    bad = garble("Müller & Söhne", "utf-8", "latin-1")
+    rows = [("Müller & Söhne", 5), (bad, 3), ("M\ufffdller", 9), (garble("été", "utf-8", "latin-1"), 4), ("été", 4), ("été #2", 3)]
+    got = {r["own"] for r in M.without_garbled(spark.createDataFrame(rows, "own string, n long")).collect()}
+    assert got == {"Müller & Söhne", garble("été", "utf-8", "latin-1"), "été", "été #2"}
