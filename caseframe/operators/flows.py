@@ -6,8 +6,7 @@ one flow in a task; :func:`sessions` bounds what a session spans.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.operators.running import running
@@ -47,41 +46,36 @@ def sessions(packets: DataFrame, stream: str, order: str, idle: int = IDLE_PACKE
     return running(fresh, stream, order, {"session": ("sum", F.col("_new"))}).drop("_before", "_new")
 
 
-def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
-    """Bytes of one direction in order of sequence numbers: overlaps keep the first copy, gaps are filled with zeros, those above
-    ``WINDOW`` are left out and listed instead, equal numbers keep their order of arrival, empty segments are only reported."""
-    key, session = rows[["stream", "session"]].iloc[0]
-    out, events, gaps, at = bytearray(), [], [], None
-    for r in rows.sort_values(["seq", "id"], kind="stable").itertuples():
-        data = bytes(r.data or b"")
-        if at is None:
-            at = r.seq
-            events.append((r.id, "est"))
-        if not data:
-            events.append((r.id, "misc"))
-            continue
-        if r.seq > at:
-            if r.seq - at <= WINDOW:
-                out += bytes(r.seq - at)
-            else:
-                gaps.append({"at": len(out), "length": r.seq - at})
-            events.append((r.id, "gap"))
-            at = r.seq
-        if r.seq + len(data) <= at:
-            events.append((r.id, "retran"))
-            continue
-        out += data[at - r.seq :]
-        at = r.seq + len(data)
-        events.append((r.id, "data"))
-    events.append((int(rows["id"].max()), "destroy"))
-    return pd.DataFrame({"stream": [key], "session": [session], "content": [bytes(out)], "events": [[f"{i}:{e}" for i, e in events]], "gaps": [gaps]})
-
-
 def reassembled(segments: DataFrame) -> DataFrame:
     """(stream, session, content, events, gaps) from id, stream, session, seq, data of TCP segments. A FIN or RST doesn't close a
     stream; its last event is the destruction at the end of input or session. ``gaps`` (at, length) are bytes that
-    content lacks: what stands at or after ``at`` lies ``length`` further in the stream."""
-    return segments.select("id", "stream", "session", "seq", "data").groupBy("stream", "session").applyInPandas(_assemble, "stream long, session long, content binary, events array<string>, gaps array<struct<at:long,length:long>>")
+    content lacks: what stands at or after ``at`` lies ``length`` further in the stream.
+
+    Bytes are in order of sequence numbers: overlaps keep the first copy, gaps are filled with zeros, those above ``WINDOW`` are left
+    out and listed instead, equal numbers keep their order of arrival. Empty segments, and those without a number, are only reported.
+    """
+    rows = segments.select("id", F.col("stream").cast("long").alias("stream"), F.col("session").cast("long").alias("session"), "seq", F.col("data").cast("binary").alias("data"))
+    flow = Window.partitionBy("stream", "session").orderBy(F.col("seq").asc_nulls_last(), "id", "data")
+    earlier = flow.rowsBetween(Window.unboundedPreceding, -1)
+    # Ordered by number, a stream has reached the largest end of what came before, from the first segment's number on.
+    end = F.when(F.octet_length("data") > 0, F.col("seq") + F.octet_length("data"))
+    at = F.greatest(F.first("seq").over(flow.rowsBetween(Window.unboundedPreceding, 0)), F.max("_end").over(earlier))
+    rows = rows.withColumn("_end", end).withColumns({"_n": F.row_number().over(flow), "_at": at})
+    gap, start = F.col("seq") - F.col("_at"), F.greatest("_at", "seq")
+    rows = rows.withColumns({"_gap": F.when(F.col("_end").isNotNull() & (gap > 0), gap), "_new": F.when(F.col("_end") > F.col("_at"), F.col("_end") - start)})
+    zeros = F.when(F.col("_gap") <= WINDOW, F.col("_gap"))
+    rows = rows.withColumn("_out", F.coalesce(zeros, F.lit(0)) + F.coalesce("_new", F.lit(0)))
+    data = F.when(F.col("_new") == F.octet_length("data"), F.col("data")).otherwise(F.expr("right(data, int(_new))"))
+    piece = F.when(zeros.isNotNull(), F.concat(F.repeat(F.lit("\0"), zeros.cast("int")).cast("binary"), data)).when(F.col("_new").isNotNull(), data)
+    said = lambda what: F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{what}"))
+    what = F.when(F.col("_end").isNull(), F.array(said("misc"))).when(F.col("_gap").isNotNull(), F.array(said("gap"), said("data"))).when(F.col("_new").isNull(), F.array(said("retran"))).otherwise(F.array(said("data")))
+    events = F.when(F.col("_n") == 1, F.concat(F.array(said("est")), what)).otherwise(what)
+    left_out = F.when(F.col("_gap") > WINDOW, F.struct(F.coalesce(F.sum("_out").over(earlier), F.lit(0)).alias("at"), F.col("_gap").alias("length")))
+    rows = rows.select("stream", "session", "id", "_n", piece.alias("_piece"), events.alias("_events"), left_out.alias("_left"))
+    ordered = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_n", c))))
+    got = rows.groupBy("stream", "session").agg(F.expr("listagg(_piece) within group (order by _n)").alias("content"), ordered("_events").alias("events"), ordered("_left").alias("gaps"), F.max("id").alias("id"))
+    all_events = F.concat(F.flatten(F.transform("events", lambda x: x["_events"])), F.array(said("destroy")))
+    return got.select("stream", "session", F.coalesce("content", F.lit(b"")).alias("content"), all_events.alias("events"), F.transform("gaps", lambda x: x["_left"]).alias("gaps"))
 
 
 def datagrams(segments: DataFrame) -> DataFrame:
