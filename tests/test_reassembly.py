@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from caseframe.operators import flows
 from caseframe.plans import registry, scans  # noqa: F401
 
-NATIVE = ["T10_destroyed", "T2_reassembled_bytes", "T6_lifecycle", "T2_reassembled"]
+NATIVE = ["T10_destroyed", "T2_reassembled_bytes", "T6_lifecycle", "T2_reassembled", "T4_padded"]
 
 
 @pytest.mark.parametrize("name", NATIVE)
