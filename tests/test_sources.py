@@ -94,6 +94,16 @@ def test_mail():
     assert [(r[3], r[5], r[6]) for r in rows] == [("hi", 0, "text/plain"), ("hi", 1, "image/png")] and rows[0][7].strip() == "café"
 
 
+def test_odd_mail(spark):
+    """Heads beyond ASCII are text; a body that isn't text ends its message, not the job."""
+    mails = [(1, "From: Jürgen <j@x>\nTo: 李\nSubject: Grüße\n übrigens\nDate: né\n\nhi".encode()), (2, b"From: a\nSubject: caf\xe9\nSubject: b\n\nhi"), (3, b"From: a\nContent-Type: text/plain; charset=utf-7\n\n+2AA- x"), (4, b"From: a\n\nlast")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in mails], "inode_id long, content binary").coalesce(1)
+    want = [(1, "Jürgen <j@x>", "李", "Grüße\n übrigens", "né", 0, "text/plain", "hi"), (2, "a", None, "caf\ufffd", None, 0, "text/plain", "hi"), (4, "a", None, None, None, 0, "text/plain", "last")]
+    assert sorted(map(tuple, scanners.scan(df, scanners.mail, scanners.MAIL).collect())) == want
+    rows = scanners.scan(df, scanners.mail, scanners.MAIL, errors=True).collect()
+    assert [(r["inode_id"], r["error"].split(":")[0]) for r in rows if r["error"]] == [(3, "UnicodeEncodeError")] and len(rows) == 4
+
+
 def test_frames():
     tcp = b"\x00" * 12 + b"\x08\x00" + bytes([0x45, 0, 0, 43, 0, 0, 0, 0, 64, 6, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + b"\x04\x01\x00\x50\x00\x00\x00\x07" + bytes(4) + b"\x50" + bytes(7) + b"abc"
     assert list(scanners.ethernet(1, tcp)) == [(1, 0x0A000001, 1025, 0x0A000002, 80, 6, 7, b"abc")]
