@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseframe.operators import flows
-from caseframe.plans import registry, scans  # noqa: F401
+from caseframe.plans import protocols, registry, scans  # noqa: F401
 
 NATIVE = ["T10_destroyed", "T2_reassembled_bytes", "T6_lifecycle", "T2_reassembled", "T4_padded"]
 
